@@ -80,3 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_url_reputation, op2_simhash, op3_substring_dedup, op4_mixing, op5_imatch, op6_toxicity, op7_language, op8_site_tree, op9_line_dedup, op10_decontamination)
 }
+
+#: What SQL can express of them.
+ORACLE_SQL: dict[str, str] = {}
