@@ -73,12 +73,12 @@ def coerce_column(c: Column, source: str, kind: str) -> Column:
         if kind == "number":
             return number
         if kind == "integer":
-            return F.when(number == F.floor(number), number.cast("bigint"))
+            return F.when(number == F.rint(number), number.cast("bigint"))
         if kind == "boolean":
             return F.when(c.isin("true", "1"), True).when(c.isin("false", "0"), False)
         return c
     if kind == "string":
-        whole = (c == F.floor(c)) & (F.abs(c) < 1e21) if source in ("double", "float") else F.lit(False)
+        whole = (c == F.rint(c)) & (F.abs(c) < 1e21) if source in ("double", "float") else F.lit(False)
         return F.when(whole, c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string")) if source in ("double", "float") else c.cast("string")
     if source == "boolean" and kind in ("number", "integer"):
         return c.cast("int")

@@ -74,7 +74,7 @@ class Value:
             "boolean": lambda: self.tag == "BOOLEAN",
             "null": lambda: F.is_variant_null(self.v),
             "number": lambda: numeric & finite,
-            "integer": lambda: numeric & finite & (self.number == F.floor(self.number)),
+            "integer": lambda: numeric & finite & (self.number == F.rint(self.number)),
             "object": lambda: self.tag.startswith("OBJECT"),
             "array": lambda: self.tag.startswith("ARRAY"),
         }[kind]()
@@ -114,8 +114,8 @@ def valid(node: Node, v: Column) -> Column:
         parts.append(either([equals(x, c) for c in raw["enum"]]))
     if "const" in raw:
         parts.append(equals(x, raw["const"]))
-    given("number", _numeric(raw, x))
-    given("string", _textual(raw, x.string))
+    given("number", numeric(raw, x.number))
+    given("string", textual(raw, x.string))
     given("array", _array(node, x))
     given("object", _object(node, x))
     if node.ref:
@@ -134,11 +134,11 @@ def valid(node: Node, v: Column) -> Column:
     return F.coalesce(both(parts), F.lit(False))
 
 
-def _numeric(raw: dict, x: Value) -> list[Column]:
-    d, out = x.number, []
+def numeric(raw: dict, d: Column, whole: bool = False) -> list[Column]:
+    out = []
     for word, test in (("minimum", lambda n: d >= n), ("maximum", lambda n: d <= n), ("exclusiveMinimum", lambda n: d > n), ("exclusiveMaximum", lambda n: d < n)):
         if is_number(raw.get(word)):
-            out.append(test(F.lit(float(raw[word]))))
+            out.append(test(F.lit(float(raw[word]) if not whole or raw[word] != int(raw[word]) else int(raw[word]))))
     if is_number(raw.get("multipleOf")):
         n = float(raw["multipleOf"])
         r = F.try_mod(d, F.lit(n))
@@ -151,7 +151,7 @@ def _sizes(raw: dict, n: Column, what: str) -> list[Column]:
     return out + ([n <= F.lit(raw[w])] if is_number(raw.get(w := f"max{what}")) else [])
 
 
-def _textual(raw: dict, s: Column) -> list[Column]:
+def textual(raw: dict, s: Column) -> list[Column]:
     out = _sizes(raw, F.length(s), "Length")
     if isinstance(raw.get("pattern"), str):
         out.append(matches(s, raw["pattern"]))
@@ -242,7 +242,7 @@ def valid_name(node: Node, k: Column) -> Column:
         return F.lit(node.raw)
     raw = node.raw
     kinds = [raw["type"]] if isinstance(raw.get("type"), str) else raw.get("type", ["string"])
-    parts = [F.lit("string" in kinds), *_textual(raw, k)]
+    parts = [F.lit("string" in kinds), *textual(raw, k)]
     if "enum" in raw:
         parts.append(k.isin([c for c in raw["enum"] if isinstance(c, str)]))
     if "const" in raw:

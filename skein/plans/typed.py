@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from skein.plans import compile as plan
 from skein.plans.schema import Node
 
-NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+NUMBERS = (*WHOLE, "float", "double")
 COLUMN_WORDS = {"type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "format", "title", "description", "default", "examples", "$comment"}
 ROW_WORDS = {"type", "properties", "required", "additionalProperties", "minProperties", "title", "description", "$schema", "$id", "$comment", "default"}
 
 
 def column_valid(node: Node, c: Column, kind: str) -> Column | None:
-    """Whether a column's value is absent (NULL) or valid; None if the node asks for more than this can say."""
+    """Whether a column's value, if it isn't NULL, is valid; None if the node asks for more than this can say."""
     if isinstance(node.raw, bool):
-        return c.isNull() | F.lit(node.raw)
+        return F.lit(node.raw)
     raw = node.raw
     if set(raw) - COLUMN_WORDS or kind != "string" and kind != "boolean" and kind not in NUMBERS:
         return None
@@ -25,7 +26,7 @@ def column_valid(node: Node, c: Column, kind: str) -> Column | None:
     tests = []
     if "type" in raw:
         kinds = [raw["type"]] if isinstance(raw["type"], str) else raw["type"]
-        whole = c == F.floor(c) if kind in ("float", "double") else F.lit(True)
+        whole = c == F.rint(c) if kind in ("float", "double") else F.lit(True)
         fits = {"string": F.lit(kind == "string"), "boolean": F.lit(kind == "boolean"), "number": finite if number else F.lit(False), "integer": finite & whole if number else F.lit(False)}
         if number and "number" in kinds or kind == "string" and "string" in kinds or kind == "boolean" and "boolean" in kinds:
             if kind in ("float", "double"):
@@ -37,27 +38,25 @@ def column_valid(node: Node, c: Column, kind: str) -> Column | None:
             for values in allowed:
                 same = [x for x in values if isinstance(x, bool) == (kind == "boolean") and isinstance(x, str) == (kind == "string") and x is not None and not isinstance(x, (dict, list))]
                 tests.append(c.isin(same) if same else F.lit(False))
-    x = plan.Value.__new__(plan.Value)
-    x.number = c
     if number:
-        tests += plan._numeric(raw, x)
+        tests += plan.numeric(raw, c, kind in WHOLE)
     if kind == "string":
-        tests += plan._textual(raw, c)
-    return F.coalesce(plan.both(tests), F.lit(True)) if tests else F.lit(True)
+        tests += plan.textual(raw, c)
+    return plan.both(tests)
 
 
 def row_valid(node: Node, df: DataFrame) -> Column | None:
     if not isinstance(node.raw, dict) or set(node.raw) - ROW_WORDS or node.get("type", "object") != "object" or isinstance(node.get("additionalProperties"), dict) or node.has("minProperties"):
         return None
-    types, tests = dict(df.dtypes), []
-    for k in node.get("required", []):
+    types, tests, required = dict(df.dtypes), [], node.get("required", [])
+    for k in required:
         tests.append(F.col(f"`{k}`").isNotNull() if k in types else F.lit(False))
     for k, s in node.many("properties"):
         if k in types:
             test = column_valid(s, F.col(f"`{k}`"), types[k])
             if test is None:
                 return None
-            tests.append(test)
+            tests.append(test if k in required else F.col(f"`{k}`").isNull() | test)
     if node.get("additionalProperties") is False:
         tests += [F.col(f"`{c}`").isNull() for c in df.columns if c not in (node.get("properties") or {})]
     return plan.both(tests)
