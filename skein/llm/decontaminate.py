@@ -112,16 +112,20 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 def find(texts: list[str | None], index: Index, seed: np.ndarray, least: float) -> dict[tuple[int, int], tuple[float, int, int, int]]:
     """By (text, item): score, first word, end word and seeds of the best alignment that reaches `least`."""
     ids, starts, (at, g) = _places(texts, index)
+    if not len(at):
+        return {}
     many = np.diff(index.first)[g]
     place = np.repeat(index.first[g], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     at = np.repeat(at, many)
     ok = seed[place]
     at, item, offset = at[ok], index.item[place[ok]], index.offset[place[ok]]
     doc = np.searchsorted(starts, at, side="right") - 1
+    if not len(at):
+        return {}
     order = np.lexsort((at, item, doc))
     at, item, offset, doc = at[order], item[order], offset[order], doc[order]
     size = np.array([len(x) for x in index.items], np.int64)
-    cut = np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > size[item[1:]]))) if len(at) else np.zeros(0, bool)
+    cut = np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - at[:-1] > size[item[1:]])))
     begin = np.flatnonzero(cut)
     stop = np.append(begin[1:], len(at))
     ends = np.append(starts[1:], len(ids)) - 1
