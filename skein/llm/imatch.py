@@ -21,7 +21,9 @@ SUBSETS = 64
 #: Document frequencies are counted in so many hash slots; every term counts, and the table's size is fixed.
 SLOTS = 1 << 19
 SEGMENT = 1 << 12
-PER_BUCKET = 24 << 20
+PER_BUCKET = 8 << 20
+#: Characters of text that are fingerprinted at once.
+BLOCK = 2_000_000
 
 
 def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,9 +71,21 @@ def lexicon(docs: DataFrame, rarest: float = 0.002, commonest: float = 0.2) -> n
     return (counts >= rarest * n) & (counts <= commonest * n) & (counts > 0)
 
 
-def fingerprint_all(texts: list[str | None], band: np.ndarray) -> np.ndarray:
+def fingerprint_all(texts: list[str], band: np.ndarray) -> np.ndarray:
     """A row of 64 hashes of 16 bits for each text; 0 marks a subset in which the text has no term. A text without any
     term in the band is fingerprinted on all its terms."""
+    out, at = [np.zeros((0, SUBSETS), np.uint16)], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < BLOCK):
+            size += len(texts[end])
+            end += 1
+        out.append(_fingerprints(texts[at:end], band))
+        at = end
+    return np.concatenate(out)
+
+
+def _fingerprints(texts: list[str], band: np.ndarray) -> np.ndarray:
     text, term, hashes = _terms(texts)
     out = np.zeros((len(texts), SUBSETS), np.uint64)
     if not len(text):
@@ -81,14 +95,16 @@ def fingerprint_all(texts: list[str | None], band: np.ndarray) -> np.ndarray:
     has[text[within[term]]] = True
     keep = within[term] | ~has[text]
     text, term = text[keep], term[keep]
-    starts = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-    rows = text[starts]
     used, where = np.unique(term, return_inverse=True)
     for k in range(SUBSETS):
         drawn = mixed(hashes[used] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
         member = drawn >> np.uint64(32) < np.uint64(1 << (30 - k % 8))  # a share of 2^-(2 + k % 8)
-        value = np.where(member, mixed(drawn ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1), np.uint64(0))
-        out[rows, k] = np.add.reduceat(value[where], starts)
+        at = np.flatnonzero(member[where])
+        if len(at):
+            row = text[at]
+            starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            out[row[starts], k] = np.add.reduceat(mixed(drawn[where[at]] ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1), starts)
+            out[row[starts], k] |= np.uint64(1) << np.uint64(63)  # a sum may be 0
     return np.where(out > 0, mixed(out) % np.uint64(65535) + np.uint64(1), np.uint64(0)).astype(np.uint16)
 
 
