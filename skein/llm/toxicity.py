@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .arrow import PUNCTUATION, chunks, utf8
 
 #: Labelled documents that the model is fitted on, about; chosen by a hash of doc_id.
-SAMPLE = 16_000
+SAMPLE = 8_000
 #: Words need so many documents of the sample to become features.
 LEAST_DOCS = 6
 STOP = b"\x01"
@@ -35,14 +35,14 @@ def tokens(text: str | None) -> list[bytes]:
 
 def bags(texts: list[str | None], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """sentence of each (sentence, word) pair with a known word, the word's number, and the text of each sentence."""
-    every: list[int] = []
-    sizes = []
     known = {**number, STOP: -2}
+    parts, sizes = [np.zeros(0, np.int32)], []
     for t in texts:
         found = [known.get(w, -1) for w in tokens(t)]
-        every += found
+        parts.append(np.array(found, np.int32))
         sizes.append(len(found))
-    code = np.array(every, np.int64)
+    code = np.concatenate(parts)
+    del parts
     stops = code == -2
     sentence = np.cumsum(stops) - stops
     text = np.repeat(np.arange(len(texts)), sizes)[stops]
