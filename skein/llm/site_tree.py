@@ -34,10 +34,13 @@ LISTS = frozenset("ul ol dl table select".split())
 BLOCKS = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+INSIDE = re.compile(r">(?:article|main)(?=[.>]|$)")
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: A branch below this importance goes; a host's own importance weighs as its pages against so many of all hosts.
 LEAST, PRIOR_PAGES = 0.7, 20
+#: The same for branches inside an article or main element, which hold the text more often than not.
+LEAST_INSIDE = 0.3
 #: Cut nodes that a task may hold; more are joined to the pages by host.
 HELD = 100_000
 
@@ -125,16 +128,17 @@ def _hash(text: str) -> int:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, path, kind (0: pages, 1: child sequence, 2: text), value and count, summed over the piece."""
+    """host, path, kind (0: pages, 1: child sequence, 2: text), value (of kind 0: whether the path is inside an article)
+    and count, summed over the piece."""
     for batch in chunks(batches, 2):
         count: Counter = Counter()
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             host = _hash(host_of(url))
             blocks, children = parse(page)
-            own = {(host, _hash(p), 1, _hash("\n".join(c))) for p, c in children.items()}
-            own |= {(host, _hash(p), 2, _hash(t)) for p, t, _ in blocks}
-            count.update(own)
-            count.update((host, p, 0, 0) for p in {k[1] for k in own})
+            paths = {p: _hash(p) for p in [*children, *(p for p, _, _ in blocks)]}
+            count.update({(host, paths[p], 1, _hash("\n".join(c))) for p, c in children.items()})
+            count.update({(host, paths[p], 2, _hash(t)) for p, t, _ in blocks})
+            count.update((host, h, 0, int(INSIDE.search(p) is not None)) for p, h in paths.items())
         rows = list(zip(*count, strict=True)) if count else [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([*(pa.array(r, pa.int64()) for r in rows), pa.array(list(count.values()), pa.int64())], names=["host", "path", "kind", "value", "n"])
 
@@ -145,21 +149,23 @@ def _importance(features: DataFrame, keys: list[str]) -> DataFrame:
     counts = features.groupBy(*keys, "kind", "value").agg(F.sum("n").alias("n"))
     log = F.when(F.col("n") > 1, F.log("n")).otherwise(0.0)
     part = lambda k, x: F.sum(F.when(F.col("kind") == k, x).otherwise(0))
-    sums = counts.groupBy(*keys).agg(part(0, F.col("n")).alias("pages"), part(1, F.col("n")).alias("styles"), part(1, F.col("n") * log).alias("style_log"), part(2, F.col("n")).alias("texts"), part(2, F.col("n") * log).alias("text_log"))
+    sums = counts.groupBy(*keys).agg(part(0, F.col("n")).alias("pages"), part(1, F.col("n")).alias("styles"), part(1, F.col("n") * log).alias("style_log"), part(2, F.col("n")).alias("texts"), part(2, F.col("n") * log).alias("text_log"), F.max(F.when(F.col("kind") == 0, F.col("value"))).alias("inside"))
     m = F.log("pages")
     style = F.when((F.col("styles") > 0) & (m > 0), (F.log("styles") - F.col("style_log") / F.col("styles")) / m).otherwise(0.0)
     leaf = F.when(F.col("texts") > 0, 1 - F.coalesce(F.when(m > 0, F.col("text_log") / F.col("texts") / m), F.lit(0.0))).otherwise(0.0)
-    return sums.select(*keys, "pages", "texts", F.when(F.col("pages") > 1, F.greatest(style, leaf)).otherwise(1.0).alias("imp"))
+    return sums.select(*keys, "pages", "texts", "inside", F.when(F.col("pages") > 1, F.greatest(style, leaf)).otherwise(1.0).alias("imp"))
 
 
 def cut_nodes(pages: DataFrame) -> DataFrame:
-    """host, path (hashes): the nodes with text whose importance, the host's shrunk towards all hosts', is under LEAST."""
+    """host, path (hashes): the nodes with text whose importance, the host's shrunk towards all hosts', is under LEAST, or
+    LEAST_INSIDE."""
     features = pages.mapInArrow(_features, "host long, path long, kind long, value long, n long")
     features = features.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     own = _importance(features, ["host", "path"])
     every = _importance(features, ["path"]).select("path", F.col("imp").alias("all_imp"), F.col("pages").alias("all_pages"))
     shrunk = (F.col("imp") * F.col("pages") + F.col("all_imp") * PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)
-    return own.where("texts > 0").join(every, "path").where((F.col("all_pages") > 2) & (shrunk < LEAST)).select("host", "path")
+    least = F.when(F.col("inside") == 1, LEAST_INSIDE).otherwise(LEAST)
+    return own.where("texts > 0").join(every, "path").where((F.col("all_pages") > 2) & (shrunk < least)).select("host", "path")
 
 
 def extract_page(page: str | None, cut: set[int]) -> str:
@@ -174,7 +180,7 @@ def extract_page(page: str | None, cut: set[int]) -> str:
         return verdict[path]
 
     kept = [(p, t) for p, t, furniture in blocks if not furniture and not gone(p)]
-    inside = [(p, t) for p, t in kept if re.search(r">(?:article|main)(?=[.>]|$)", p)]
+    inside = [(p, t) for p, t in kept if INSIDE.search(p)]
     return " ".join(t for _, t in inside or kept)
 
 
