@@ -99,13 +99,21 @@ def fit(texts: list[str | None], labels: np.ndarray, rounds: int = 300, rate: fl
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on about `sample` rows of labelled (doc_id, text, label 0/1), all of them if there are fewer."""
+    """Fits on about `sample` rows of labelled (doc_id, text, label 0/1), all of them if there are fewer, in one task."""
     rows = labelled.where("label is not null").select("doc_id", "text", "label")
     n = rows.count()
     if n > sample:
         rows = rows.where(F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("fit"))) < int(2**32 * sample / n))
-    found = sorted(rows.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
-    return fit([r.text for r in found], np.array([r.label for r in found]))
+    (model,) = rows.repartition(1).mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(bytes(model[0]))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pickled model of all rows, whose number train bounds."""
+    rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    model = fit([r[1] for r in rows], np.array([r[2] for r in rows]))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def _scored(model: bytes, where: float | None):
