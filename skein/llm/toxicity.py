@@ -104,8 +104,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     n = rows.count()
     if n > sample:
         rows = rows.where(F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("fit"))) < int(2**32 * sample / n))
-    (model,) = rows.repartition(1).mapInArrow(_fitted, "model binary").collect()
-    return pickle.loads(bytes(model[0]))
+    models = rows.repartition(1).mapInArrow(_fitted, "model binary").collect()
+    return pickle.loads(bytes(models[0][0])) if models else fit([], np.zeros(0))
 
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
