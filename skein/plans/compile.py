@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -81,6 +82,16 @@ class Value:
         return F.coalesce(test, F.lit(False))
 
 
+def child(x: Value, key: str) -> Column:
+    """The property's value, NULL if it isn't there. A path reads one field; the map of all is built only for keys that
+    a path can't name."""
+    if re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", key):
+        return F.try_variant_get(x.v, f"$.{key}", "variant")
+    if re.fullmatch(r"[^\"\\\[\]\x00-\x1f]+", key):
+        return F.try_variant_get(x.v, f'$["{key}"]', "variant")
+    return F.try_element_at(x.map, F.lit(key))
+
+
 def equals(x: Value, to: Any) -> Column:
     if to is None:
         return x.is_("null")
@@ -197,8 +208,9 @@ def _object(node: Node, x: Value) -> list[Column]:
     keys = raw.get("properties") or {}
     required = raw.get("required", [])
     names = F.map_keys(m)
-    has = lambda k: F.map_contains_key(m, k)
-    out = [has(k) for k in required] + _sizes(raw, F.size(m), "Properties")
+    has = lambda k: child(x, k).isNotNull()
+    checked = {k for k, s in node.many("properties") if s.raw is not True}
+    out = [has(k) for k in required if k not in checked] + _sizes(raw, F.size(m), "Properties")
     more = raw.get("additionalProperties")
     res = [p for p, _ in node.many("patternProperties")]
     if more is False:
@@ -210,7 +222,8 @@ def _object(node: Node, x: Value) -> list[Column]:
         out.append(~has(k) | both([has(d) for d in needed]))
     for k, s in node.many("properties"):
         if s.raw is not True:
-            out.append(~has(k) | let(F.element_at(m, k), lambda v: F.coalesce(valid(s, v), F.lit(False))))
+            # a required property is read once, for its presence and its check
+            out.append(let(child(x, k), lambda v: F.coalesce(valid(s, v), F.lit(False)) & v.isNotNull() if k in required else v.isNull() | F.coalesce(valid(s, v), F.lit(False))))
     entries = [(p, s) for p, s in node.many("patternProperties") if s.raw is not True]
     rest = node.one("additionalProperties") if isinstance(more, dict) else None
     if entries or rest:
