@@ -163,5 +163,43 @@ taken AS (
 SELECT doc_id, size, source_size, target, taken::bigint AS taken FROM taken t JOIN goal g ON t.source IS NOT DISTINCT FROM g.source
 """
 
+OP3_SQL = r"""
+WITH split AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 18))) AS i FROM split),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i:i + 19], ' ') ORDER BY doc_id, i) AS r FROM starts),
+gone AS (SELECT DISTINCT doc_id, i + o.o AS pos FROM ranked, range(20) o(o) WHERE r > 1),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM split),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS text FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws)::bigint AS n_words, coalesce(n, 0)::bigint AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
+OP9_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+texts AS (
+  SELECT line, min((doc_id, i)) AS f, list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS toks
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
+numbered AS (SELECT row_number() OVER (ORDER BY f) AS id, * FROM texts),
+tokens AS (SELECT id, len(toks) AS n, unnest(toks) AS t FROM numbered),
+rarity AS (SELECT t, count(*) AS df FROM tokens GROUP BY t),
+placed AS (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY df, t) AS pos FROM tokens JOIN rarity USING (t)),
+heads AS (SELECT * FROM placed WHERE pos <= n - (4 * n + 4) // 5 + 1),
+pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM heads a JOIN heads b ON a.t = b.t AND a.id < b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+links AS (
+  SELECT a, b FROM pairs JOIN numbered x ON x.id = a JOIN numbered y ON y.id = b
+  WHERE 9 * len(list_intersect(x.toks, y.toks)) >= 4 * (len(x.toks) + len(y.toks))),
+ends AS (SELECT a AS id, b AS o FROM links UNION ALL SELECT b, a FROM links),
+other AS (SELECT id, count(*) AS links, min(o) AS o FROM ends GROUP BY id),
+verdict AS (
+  SELECT l.doc_id, l.i, l.line, coalesce(links, 0) AS links,
+         coalesce(x.f < (l.doc_id, l.i) OR z.f < (l.doc_id, l.i), x.f < (l.doc_id, l.i), false) AS goes
+  FROM lines l LEFT JOIN numbered x ON x.line = l.line LEFT JOIN other ON other.id = x.id LEFT JOIN numbered z ON z.id = other.o)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_removed, sum(links)::bigint AS n_links,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT goes), '')) AS kept_sha256
+FROM verdict GROUP BY doc_id
+"""
+
 #: What SQL can express of them.
-ORACLE_SQL: dict[str, str] = {"op1_url_reputation": OP1_SQL, "op4_mixing": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_reputation": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_mixing": OP4_SQL, "op9_line_dedup": OP9_SQL}
