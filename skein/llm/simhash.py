@@ -25,18 +25,24 @@ SEGMENTS = 16
 BLOCK = 20_000
 
 
-def fingerprint(text: str | None, size: int = 4) -> int:
+def shingles(text: str | None, size: int) -> list[int]:
+    """The 64-bit hash of each run of `size` words, of all words if there are fewer; none without words."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return []
     joined = b" ".join(found)
     if len(found) <= size:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts[: len(found) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, 42)]
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], 42) for a, b in zip(starts[: len(found) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, size: int = 4) -> int:
+    hashes = shingles(text, size)
+    if not hashes:
+        return 0
     h = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 14):
