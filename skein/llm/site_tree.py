@@ -12,7 +12,6 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -127,20 +126,27 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, path, kind (0: pages, 1: child sequence, 2: text), value (of kind 0: whether the path is inside an article)
-    and count, summed over the piece."""
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, body, features for each distinct body of a host in the piece. A page has two bodies, what is inside an article
+    or main element and what is not; the second one's hash covers the first too. Features are (path, kind, value): kind 0
+    is the page's node (value: whether the path is inside an article), 1 its child sequence, 2 a text."""
+    kind = pa.list_(pa.struct([("path", pa.int64()), ("kind", pa.int64()), ("value", pa.int64())]))
     for batch in chunks(batches, 2):
-        count: Counter = Counter()
+        seen: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             host = _hash(host_of(url))
             blocks, children = parse(page)
-            paths = {p: _hash(p) for p in [*children, *(p for p, _, _ in blocks)]}
-            count.update({(host, paths[p], 1, _hash("\n".join(c))) for p, c in children.items()})
-            count.update({(host, paths[p], 2, _hash(t)) for p, t, _ in blocks})
-            count.update((host, h, 0, int(INSIDE.search(p) is not None)) for p, h in paths.items())
-        rows = list(zip(*count, strict=True)) if count else [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([*(pa.array(r, pa.int64()) for r in rows), pa.array(list(count.values()), pa.int64())], names=["host", "path", "kind", "value", "n"])
+            paths = {p: (_hash(p), int(INSIDE.search(p) is not None)) for p in [*children, *(p for p, _, _ in blocks)]}
+            found = {(*at, 0, at[1]) for at in paths.values()}
+            found |= {(*paths[p], 1, _hash("\n".join(c))) for p, c in children.items()}
+            found |= {(*paths[p], 2, _hash(t)) for p, t, _ in blocks}
+            inner, outer = sorted(f for f in found if f[1]), sorted(f for f in found if not f[1])
+            body = _hash(repr((inner, [t for p, t, _ in blocks if paths[p][1]])))
+            seen.setdefault((host, body), [(p, k, v) for p, _, k, v in inner])
+            seen.setdefault((host, _hash(repr((body, outer, [t for _, t, _ in blocks])))), [(p, k, v) for p, _, k, v in outer])
+        rows = [(h, b, [dict(zip(("path", "kind", "value"), f, strict=True)) for f in found]) for (h, b), found in seen.items() if found]
+        hosts, bodies, found = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(bodies, pa.int64()), pa.array(found, kind)], names=["host", "body", "features"])
 
 
 def _importance(features: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,11 +164,14 @@ def _importance(features: DataFrame, keys: list[str]) -> DataFrame:
 
 def cut_nodes(pages: DataFrame) -> DataFrame:
     """host, path (hashes): the nodes with text whose importance, the host's shrunk towards all hosts', is under LEAST, or
-    LEAST_INSIDE."""
-    features = pages.mapInArrow(_features, "host long, path long, kind long, value long, n long")
-    features = features.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
-    own = _importance(features, ["host", "path"])
-    every = _importance(features, ["path"]).select("path", F.col("imp").alias("all_imp"), F.col("pages").alias("all_pages"))
+    LEAST_INSIDE. A body that several pages of a host repeat counts once there, and one that several hosts repeat once
+    for all hosts, so copies of an article do not make it boilerplate."""
+    bodies = pages.mapInArrow(_bodies, "host long, body long, features array<struct<path:bigint,kind:bigint,value:bigint>>")
+    bodies = bodies.groupBy("host", "body").agg(F.first("features").alias("features"))
+    counted = lambda b, *keys: b.select(*keys, F.inline("features")).groupBy(*keys, "path", "kind", "value").agg(F.count("*").alias("n"))
+    own = _importance(counted(bodies, "host"), ["host", "path"])
+    once = bodies.groupBy("body").agg(F.first("features").alias("features"))
+    every = _importance(counted(once), ["path"]).select("path", F.col("imp").alias("all_imp"), F.col("pages").alias("all_pages"))
     shrunk = (F.col("imp") * F.col("pages") + F.col("all_imp") * PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)
     least = F.when(F.col("inside") == 1, LEAST_INSIDE).otherwise(LEAST)
     return own.where("texts > 0").join(every, "path").where((F.col("all_pages") > 2) & (shrunk < least)).select("host", "path")
@@ -207,8 +216,8 @@ def extract(pages: DataFrame, held: int = HELD) -> DataFrame:
     """page_id, url, text for each row of pages (page_id, url, html).
 
     Null and empty html, and pages of furniture only, give an empty text; null or odd urls form one host; repeated rows
-    give repeated rows; an empty table gives an empty table; other columns are ignored. The statistics cover all pages,
-    as counts summed before each shuffle. Up to `held` cut nodes go to the tasks with the code; beyond that they are
+    give repeated rows; an empty table gives an empty table; other columns are ignored. The statistics cover the
+    distinct bodies of all pages. Up to `held` cut nodes go to the tasks with the code; beyond that they are
     gathered by host and joined to the pages, a hot host being split by the adaptive skew join."""
     base = pages.select("page_id", "url", "html")
     kind = dict(base.dtypes)["page_id"]

@@ -218,6 +218,17 @@ def test_importance_cuts_what_repeats(spark):
         assert out == {i: f"Own text number {i} of {i * 7}" for i in range(40)}
 
 
+@pytest.mark.parametrize("page", ["<article><p>{a}</p></article><div>{n} read this</div>", "<div><p>{a}</p></div>"])
+def test_copies_of_an_article_are_no_boilerplate(spark, page):
+    """A host of copies only, one where four of five pages are copies, and a mirror of one page on each of many hosts."""
+    same, own = "The one article", "Own text number {} of {}"
+    texts = {i: same for i in range(400)} | {i: own.format(i, i * 7) for i in range(400) if 100 <= i < 300 and i % 5 == 0}
+    host = lambda i: "copies" if i < 100 else "mixed" if i < 300 else f"mirror{i}"
+    rows = [(i, f"http://{host(i)}.example.com/?q={i}", "<body>" + page.format(a=t, n=i) + "</body>") for i, t in texts.items()]
+    out = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == texts
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     out = {r.page_id: r.text for r in site_tree.extract(pages).collect()}
