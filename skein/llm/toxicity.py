@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .arrow import PUNCTUATION, chunks, utf8
 
 #: Labelled documents that the model is fitted on, about; chosen by a hash of doc_id.
-SAMPLE = 8_000
+SAMPLE = 16_000
 #: Words need so many documents of the sample to become features.
 LEAST_DOCS = 6
 STOP = b"\x01"

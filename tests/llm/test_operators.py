@@ -132,6 +132,13 @@ def test_toxicity_finds_the_sentence(spark):
     assert [x.sentence for x in out[1].offending] == [1]
 
 
+def test_toxicity_is_fitted_on_16000_documents(spark):
+    """A word of six documents among so many is a feature only if none of them is left out."""
+    rows = spark.range(16_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2500 == 7, "you rarest").otherwise("a fine day").alias("text"), (F.col("id") % 2500 == 7).cast("int").alias("label"))
+    assert rows.where("doc_id < 14000 and label = 1").count() == 6
+    assert b"rarest" in toxicity.train(rows.withColumn("text", F.when(F.col("doc_id") < 14000, F.col("text")).otherwise("a fine day"))).number
+
+
 def test_toxicity_is_a_noisy_or():
     model = toxicity.Model({b"bad": 0, b"ill": 1}, np.array([2.0, 1.0, 0.0]), -1.0)
     s = lambda z: 1 / (1 + np.exp(-z))
