@@ -50,8 +50,9 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")), where=None)
-    return out.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    """offending: the numbers, from 0, of the sentences that score 0.3 or more by themselves."""
+    out = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.col("offending.sentence").alias("offending"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,27 +134,66 @@ def test_toxicity_finds_the_sentence(spark):
 
 def test_toxicity_is_fitted_on_16000_documents(spark):
     """A word of six documents among so many is a feature only if none of them is left out."""
-    rows = spark.range(16_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2500 == 7, "you rarest").otherwise("a fine day").alias("text"), (F.col("id") % 2500 == 7).cast("int").alias("label"))
+    toxic = F.col("doc_id") % 2500 == 7
+    rows = spark.range(16_000).toDF("doc_id").select("doc_id", F.when(toxic, "you rarest").otherwise("a fine day").alias("text"), toxic.cast("int").alias("label"))
     assert rows.where("doc_id < 14000 and label = 1").count() == 6
-    assert b"rarest" in toxicity.train(rows.withColumn("text", F.when(F.col("doc_id") < 14000, F.col("text")).otherwise("a fine day"))).number
+    model = toxicity.train(rows.withColumn("text", F.when(F.col("doc_id") < 14000, F.col("text")).otherwise("a fine day")))
+    assert model.word_scores([b"rarest", b"day"]).tolist()[0] > 3
 
 
 def test_toxicity_is_a_noisy_or():
-    model = toxicity.Model({b"bad": 0, b"ill": 1}, np.array([2.0, 1.0, 0.0]), -1.0)
+    model = toxicity.Model.of({b"bad": 2.0, b"ill": 1.0}, -1.0)
     s = lambda z: 1 / (1 + np.exp(-z))
     assert model.scores(["Bad! so ill. ok"])[0] == pytest.approx(1 - (1 - s(1)) * (1 - s(0)) * (1 - s(-1)))
+    assert model.scores(["bad bad"])[0] == pytest.approx(s(1))
+
+
+def test_toxicity_features_are_a_words_runs():
+    """Equal runs of bytes have one slot, wherever they are; others have their own."""
+    words = ["idiotic", "idiots", "mür", "other", "of"]
+    slot, owner = next(toxicity.word_slots([w.encode() for w in words]))
+    runs = [{("", w), *((n, f"<{w}>".encode()[i : i + n]) for n in toxicity.RUNS for i in range(len(w.encode()) + 3 - n))} for w in words[:4]] + [set()]
+    for i in range(len(words)):
+        assert len(set(slot[owner == i].tolist())) == len(runs[i])
+        for j in range(len(words)):
+            assert len(set(slot[owner == i].tolist()) & set(slot[owner == j].tolist())) == len(runs[i] & runs[j])
+
+
+def test_toxicity_gradient_by_differences():
+    rng = np.random.default_rng(4)
+    sentence, word, text = np.array([0, 0, 1, 2, 3, 3, 4]), np.array([0, 1, 1, 2, 0, 2, 3]), np.array([0, 0, 1, 2, 2, 3])
+    slot, owner, y = np.array([0, 1, 1, 2, 0]), np.array([0, 0, 1, 2, 3]), np.array([1.0, 0.0, 1.0, 0.0])
+    w = rng.normal(size=4)
+    at = lambda x: toxicity.loss(x, sentence, word, text, slot, owner, y, 4, 0.3, 2.0)
+    for i in range(4):
+        d = np.eye(4)[i] * 1e-5
+        assert at(w)[1][i] == pytest.approx((at(w + d)[0] - at(w - d)[0]) / 2e-5, abs=1e-6)
+    # the likelihood itself, by its definition
+    score = [w[0] + w[1], w[1], w[2], w[0]]
+    p = [1 / (1 + np.exp(-(w[3] + sum(score[b] for a, b in zip(sentence, word, strict=True) if a == s)))) for s in range(6)]
+    docs = [1 - np.prod([1 - p[s] for s in range(6) if text[s] == d]) for d in range(4)]
+    assert at(w)[0] == pytest.approx(np.mean([2 * np.log(docs[d]) if y[d] else np.log(1 - docs[d]) for d in range(4)]) - 0.3 * (w[:3] ** 2).sum() / 8)
+
+
+def test_toxicity_knows_new_forms_of_a_stem(spark):
+    rows = [(i, f"all is well. so gromfel{i % 13}x it is" if i % 4 == 0 else f"all is well. so gentle{i % 13}x it is", int(i % 4 == 0)) for i in range(200)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    assert model.scores(["so gromfelig it is"])[0] >= 0.3 > model.scores(["so gentleig it is"])[0]
 
 
 def test_toxicity_held_out(spark):
+    """By language, at the threshold: 69 toxic documents in English, 20 in German, 20 in French, 11 in Spanish."""
     sf = "/root/testdata/sf0.1"
-    out = queries.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang = 'en'").toPandas()
-    rank = out.score.rank().to_numpy()
-    y = out.toxic.to_numpy()
-    assert (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (1 - y).sum()) > 0.95
+    out = queries.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    for lang, least in (("en", 0.85), ("de", 0.8), ("fr", 0.85), ("es", 0.7)):
+        own = out[out.lang == lang]
+        assert own[own.toxic == 1].predicted.mean() >= least
+        assert own[own.toxic == 0].predicted.mean() <= 0.04
+        assert (own[(own.predicted == 1)].offending.map(len) > 0).mean() > 0.8
 
 
 def test_scores_of_odd_rows(spark):
-    model = toxicity.Model({b"bad": 0}, np.array([2.0, 0.0]), -3.0)
+    model = toxicity.Model.of({b"bad": 2.0}, -3.0)
     out = toxicity.score(clashing(spark, ODD), model).collect()
     assert len(out) == len(ODD)
     assert all(0 <= r.score <= 1 for r in out)
