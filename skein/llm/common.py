@@ -13,20 +13,33 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: With this setting a query's shuffle files go when it ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of this machine only where none is configured."""
+    """The folder all executors share. Only a local master may go without one: it gets a folder of this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/skein-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df to the shared folder and reads it back: the lineage ends there and survives lost executors. The files
+    are left to the folder's owner."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/skein-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def n_words(text: Column) -> Column:
