@@ -83,30 +83,32 @@ def _places(texts: list[str | None], index: Index) -> tuple[np.ndarray, np.ndarr
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
-    """Smith-Waterman: the best local score (a match 1, a mismatch or gap -1) and where it starts and ends in passage.
-    Word number 0 matches nothing."""
-    n, m = len(passage), len(item)
-    score = np.zeros((n + 1, m + 1), np.int32)
-    best, end = 0, (0, 0)
-    step = np.arange(m, dtype=np.int32)
-    for i in range(1, n + 1):
-        match = np.where((item == passage[i - 1]) & (item > 0), 1, -1)
-        row = np.maximum(np.maximum(score[i - 1, :-1] + match, score[i - 1, 1:] - 1), 0)
-        row = np.maximum.accumulate(row + step) - step  # gaps in the passage
-        score[i, 1:] = row
-        top = int(row.argmax())
-        if row[top] > best:
-            best, end = int(row[top]), (i, top + 1)
-    i, j = end
-    while i > 0 and j > 0 and score[i, j] > 0:
-        match = 1 if item[j - 1] == passage[i - 1] > 0 else -1
-        if score[i, j] == score[i - 1, j - 1] + match:
-            i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] - 1:
-            i -= 1
-        else:
-            j -= 1
-    return best, i, end[0]
+    """Smith-Waterman: the best local score (a match 1, a mismatch or gap -1) and where it starts and ends in passage; of
+    equal ones the one that ends first. Word number 0 matches nothing. Each score carries where its alignment starts, so
+    two rows of the matrix are held, whatever the passage's length."""
+    m = len(item)
+    score, origin = np.zeros(m + 1, np.int32), np.zeros(m + 1, np.int64)
+    best, span = 0, (0, 0)
+    step, place = np.arange(m + 1, dtype=np.int32), np.arange(m + 1)
+    for i in range(1, len(passage) + 1):
+        word = passage[i - 1]
+        diagonal = np.full(m + 1, -1, np.int32)
+        diagonal[1:] = score[:-1] + np.where((item == word) & (word > 0), 1, -1)
+        row = np.maximum(np.maximum(diagonal, score - 1), 0)
+        begun = np.where(row == diagonal, np.concatenate(([i], np.where(score[:-1] > 0, origin[:-1], i - 1))), np.where(row > 0, origin, i))
+        reach = np.maximum.accumulate(row + step)  # gaps in the passage
+        begun = begun[np.maximum.accumulate(np.where(row + step == reach, place, 0))]
+        score, origin = reach - step, begun
+        top = int(score.argmax())
+        if score[top] > best:
+            best, span = int(score[top]), (int(origin[top]), i)
+    return best, *span
+
+
+def seeds_needed(size: int, least: float) -> int:
+    """Distinct seeds that a passage needs to be aligned: two, but one for items so short that a copy which reaches the
+    threshold may keep no more than one."""
+    return 2 if least * size > 4 * GRAM else 1
 
 
 def find(texts: list[str | None], index: Index, seed: np.ndarray, least: float) -> dict[tuple[int, int], tuple[float, int, int, int]]:
@@ -209,8 +211,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, share: floa
     Words are lower-cased and lose ASCII punctuation. Seeds are, of each item, the grams up to the quantile `share` of
     their counts in the corpus: an item that leaked into many documents keeps seeds. Test items are read in blocks of
     BLOCK_WORDS words; what a task holds is one block's index, whatever their number. Items of fewer than three words
-    match nothing. Null and empty texts match nothing; a null doc_id or item_id is passed on; repeated rows give
-    repeated rows; an empty table on either side gives an empty table; other columns are ignored."""
+    match nothing; a copy edited so often that fewer seeds stay than seeds_needed is not found. Of equal alignments the
+    first in the text counts. Null and empty texts match nothing; a text of any length is searched whole; a null doc_id or
+    item_id is passed on; repeated rows give repeated rows; an empty table on either side gives an empty table; other
+    columns are ignored."""
     schema = "doc_id long, item_id long, score double, first_word long, end_word long, seeds long"
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     out = None
@@ -221,7 +225,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, share: floa
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, share: float = 0.75) -> DataFrame:
-    """The rows of docs, with all their columns, that leak no test item."""
+    """The rows of docs, with all their columns, that leak no test item; odd rows as in leaks."""
     out = docs
     for index, seed in _indexes(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, share):
         out = out.mapInArrow(_clean(index, seed, least, docs.columns.index("text")), docs.schema)

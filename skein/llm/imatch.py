@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import chunks, coded, mixed, plain_words, utf8
+from .common import materialise
 
 SUBSETS = 64
-#: Document frequencies are counted in so many hash slots; every term counts, and the table's size is fixed.
-SLOTS = 1 << 19
-SEGMENT = 1 << 12
+#: Bytes of text for each range of documents.
 PER_BUCKET = 8 << 20
 #: Characters of text that are fingerprinted at once.
 BLOCK = 2_000_000
@@ -40,35 +39,19 @@ def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, docs = np.zeros(SLOTS, np.int64), 0
+    """term, n: in how many texts of the piece each term is."""
     for batch in chunks(batches, 0):
         _, term, hashes = _terms(batch.column(0).to_pylist())
-        total += np.bincount((hashes[term] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        docs += batch.num_rows
-    zip_ = zstandard.ZstdCompressor(level=1)
-    parts = total.reshape(-1, SEGMENT)
-    some = [i for i in range(len(parts)) if parts[i].any()]
-    rows = [(-1, zip_.compress(np.array([docs], np.int64).tobytes())), *((i, zip_.compress(parts[i].tobytes())) for i in some)]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["segment", "counts"])
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    unzip = zstandard.ZstdDecompressor()
-    total = sum(np.frombuffer(unzip.decompress(c), np.int64) for c in table.column("counts").to_pylist())
-    return pa.table({"segment": table.column("segment")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def lexicon(docs: DataFrame, rarest: float = 0.002, commonest: float = 0.2) -> np.ndarray:
-    """Whether each slot's terms are within the band: in a share of the documents from rarest to commonest. The counts
-    cover all documents; what reaches the driver has a fixed size."""
-    counts, n = np.zeros(SLOTS, np.int64), 0
-    for row in docs.select("text").mapInArrow(_frequencies, "segment long, counts binary").groupBy("segment").applyInArrow(_summed, "segment long, counts binary").collect():
-        part = np.frombuffer(bytes(row.counts), np.int64)
-        if row.segment < 0:
-            n = int(part[0])
-        else:
-            counts[row.segment * SEGMENT : (row.segment + 1) * SEGMENT] = part
-    return (counts >= rarest * n) & (counts <= commonest * n) & (counts > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.bincount(term, minlength=len(hashes)))], names=["term", "n"])
+
+
+def lexicon(docs: DataFrame, n: int, rarest: float = 0.002, commonest: float = 0.2) -> np.ndarray:
+    """The terms (hashes, sorted) within the band: in a share of the n documents from rarest to commonest. Every term is
+    counted exactly, over all documents. At most the distinct terms of an average document over `rarest` are in the
+    band, however many documents there are, so the driver can hold them."""
+    found = docs.select("text").mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    band = found.where((F.col("n") >= rarest * n) & (F.col("n") <= commonest * n)).select("term").toArrow()
+    return np.sort(band["term"].to_numpy().view(np.uint64))
 
 
 def fingerprint_all(texts: list[str], band: np.ndarray) -> np.ndarray:
@@ -90,7 +73,7 @@ def _fingerprints(texts: list[str], band: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), SUBSETS), np.uint64)
     if not len(text):
         return out.astype(np.uint16)
-    within = band[(hashes % np.uint64(SLOTS)).astype(np.int64)]
+    within = band[np.minimum(np.searchsorted(band, hashes), len(band) - 1)] == hashes if len(band) else np.zeros(len(hashes), bool)
     has = np.zeros(len(texts), bool)
     has[text[within[term]]] = True
     keep = within[term] | ~has[text]
@@ -118,15 +101,26 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array([z.compress(utf8(t)) for t in b.column(4).to_pylist()], pa.binary())], names=["bucket", "tail", "doc_id", "v", "z"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([z.compress(utf8(t)) for t in b.column(4).to_pylist()], pa.binary())], names=["bucket", "tail", "doc_id", "v", "z"])
+
+
+def _dealt(ends: np.ndarray, text: bool):
+    """The range of each row's doc_id, by binary search, before the other columns; null ones are in the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0)
+            bucket = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(ends), np.searchsorted(ends, ids.fill_null(0).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), *b.columns], names=["bucket", "doc_id", "v", *(["text"] if text else [])])
+
+    return run
 
 
 OUT = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _compare(band_bits: bytes):
+def _compare(band: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
-        band = np.unpackbits(np.frombuffer(band_bits, np.uint8), count=SLOTS).astype(bool)
         unzip = zstandard.ZstdDecompressor()
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("tail", "doc_id", "v", "z")), strict=True), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
         texts = [unzip.decompress(r[3]).decode("utf-8", "surrogatepass") for r in rows]
@@ -147,23 +141,24 @@ def fingerprints(docs: DataFrame, rarest: float = 0.002, commonest: float = 0.2)
 
     Documents follow each other by doc_id, null last, rows of one doc_id by a hash of the text, and the last is followed
     by the first. Null and empty texts have the fingerprint of zeros, as have texts of punctuation only; equal texts have equal fingerprints; a single
-    row follows itself; an empty table gives an empty table; other columns are ignored. Documents are dealt by ranges of doc_id, sized by
-    the bytes of text; a range also gets the first document of the next one."""
+    row follows itself; an empty table gives an empty table; other columns are ignored. Documents are dealt by ranges of
+    doc_id, sized by the bytes of text; a range also gets the first document of the next one. A very long text is
+    fingerprinted whole; the rows of one doc_id, and those without any, are in one range and one task."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("v"), "text")
     size, n = base.agg(F.sum(F.octet_length("text")), F.count("*")).collect()[0]
     if not n:
         return spark.createDataFrame([], OUT)
-    band = np.packbits(lexicon(base, rarest, commonest)).tobytes()
+    band = lexicon(base, n, rarest, commonest)
     buckets = max(4, int((size or 0) // PER_BUCKET))
-    cuts = sorted(set(base.where("doc_id is not null").approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
-    ends = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.coalesce(F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(ends, lambda c: c < F.col("doc_id")))), F.lit(0)).cast("long")
-    base = base.withColumn("bucket", bucket)
-    heads = base.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("h")).orderBy("bucket").collect()  # a row a range
-    into = [(heads[i - 1].bucket, r.h.doc_id, r.h.v) for i, r in enumerate(heads)]
-    firsts = F.broadcast(spark.createDataFrame(into, "into long, head long, head_v long"))
-    tails = base.join(firsts, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("v") == F.col("head_v"))).select(F.col("into").alias("bucket"), F.lit(True).alias("tail"), "doc_id", "v", "text")
-    every = base.select("bucket", F.lit(False).alias("tail"), "doc_id", "v", "text").union(tails)
+    ends = np.array(sorted(set(base.where("doc_id is not null").approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets))), np.int64)
+    heads = base.select("doc_id", "v").mapInArrow(_dealt(ends, False), "bucket long, doc_id long, v long").groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("h"))
+    heads = materialise(heads)
+    # the range before each one gets its first document; all ranges but the last have one, as their ends are doc_ids
+    last = heads.agg(F.max("bucket")).scalar()
+    into = heads.select(F.when(F.col("bucket") == heads.agg(F.min("bucket")).scalar(), last).otherwise(F.col("bucket") - 1).alias("into"), F.col("h.doc_id").alias("head"), F.col("h.v").alias("head_v"))
+    dealt = base.mapInArrow(_dealt(ends, True), "bucket long, doc_id long, v long, text string")
+    tails = base.join(into, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("v") == F.col("head_v"))).select(F.col("into").alias("bucket"), F.lit(True).alias("tail"), "doc_id", "v", "text")
+    every = dealt.select("bucket", F.lit(False).alias("tail"), "doc_id", "v", "text").union(tails)
     packed = every.mapInArrow(_pack, "bucket long, tail boolean, doc_id long, v long, z binary")
     return packed.groupBy("bucket").applyInArrow(_compare(band), OUT)

@@ -93,9 +93,8 @@ marks AS (
   FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
 hosts AS (
   SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::bigint AS bad,
-         CASE WHEN len(string_split(host, '.')) > 2 THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS domain,
-         string_split(host, '.')[-1] AS suffix
-  FROM parts LEFT JOIN marks USING (page_id) GROUP BY host),
+         array_to_string(string_split(name, '.')[-(labels + 1):], '.') AS domain, array_to_string(string_split(name, '.')[-labels:], '.') AS suffix
+  FROM (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name, CASE WHEN regexp_matches(name, '(^|\.)(' || '@SUFFIXES@' || ')$') THEN 2 ELSE 1 END AS labels FROM parts) named LEFT JOIN marks USING (page_id) GROUP BY host, name, labels),
 domains AS (SELECT domain, suffix, sum(n)::bigint AS n, sum(bad)::bigint AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n)::bigint AS n, sum(bad)::bigint AS bad FROM hosts GROUP BY suffix),
 groups AS (SELECT 1 AS l, n, bad FROM suffixes UNION ALL SELECT 2, n, bad FROM domains UNION ALL SELECT 3, n, bad FROM hosts),
@@ -123,7 +122,7 @@ SELECT page_id, parts.host, parts.path, fits.rule,
        coalesce(fits.action, CASE WHEN p - 1.645 * sqrt(p * (1 - p) / (total + 1)) > 0.3 THEN 'block' ELSE 'allow' END) AS verdict,
        n AS host_labelled, bad AS host_bad
 FROM parts JOIN post USING (host) LEFT JOIN fits ON parts.host = fits.host AND parts.path = fits.path
-"""
+""".replace("@SUFFIXES@", "|".join(s.replace(".", "\\.") for s in url_reputation.SUFFIXES))
 
 OP4_SQL = r"""
 WITH sizes AS (

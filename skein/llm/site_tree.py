@@ -3,8 +3,11 @@
 The DOMs of a host's pages are merged: nodes with the same path of tags and class, id and role names are one node of
 the tree. A node's importance is entropy-based: a container's grows with the variety of its pages' child sequences, a
 leaf's falls with the evenness with which its texts repeat over pages. Each host's importance is shrunk towards that of
-the same path over all hosts, which decides for hosts of few pages, and elements that are furniture by their tag or
-name start from a low prior. Branches of low importance are cut from each page.
+the same path over all hosts, which decides for hosts of few pages. Nodes of low importance are cut from each page.
+
+Statistics can't tell unique furniture from unique text: adverts, reader comments and menus that differ on every page.
+Elements that are furniture by their tag or name are therefore cut as well, whatever their entropy, and an article or main
+element outweighs what is around it. The README says how far either part decides on the given tables.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,8 +36,11 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 LISTS = frozenset("ul ol dl table select".split())
 BLOCKS = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
-INSIDE = re.compile(r">(?:article|main)(?=[.>]|$)")
+#: Elements whose inside is no markup.
+RAW = frozenset("script style textarea title noscript template iframe".split())
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+QUOTE = re.compile("[>\"']")
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: A branch below this importance goes; a host's own importance weighs as its pages against so many of all hosts.
@@ -59,12 +66,68 @@ def _node(tag: str, attrs: str) -> tuple[str, bool]:
     return ".".join([tag, *sorted(set(names)), *([f"@{role}"] if role else [])]), tag in DROPPED or hidden or bool(parts & NAMES) or role in ROLES
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, str, bool]], dict[str, list[str]]]:
-    """Blocks in page order as (path of the innermost block element, text, furniture), and the child sequence of each
-    path. Inline elements do not part a block; br does, as white space."""
-    stack: list[tuple[str, str, bool]] = [("", "", False)]  # tag, path, furniture
-    blocks: list[tuple[str, str, bool]] = []
-    children: dict[str, list[str]] = {}
+def scan(page: str) -> Iterator[tuple[str, str, str]]:
+    """The page's parts as (kind, name or text, attributes): text, open, close, raw (an element whose inside is skipped).
+    Each place is looked at a bounded number of times: when the quotes of a tag never end, the rest of the page is read
+    without them, and when there is no > left, the rest is text."""
+    at, quotes, closing = 0, True, True
+    while at < len(page):
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = len(page) if end < 0 else end
+            yield "text", page[at:end], ""
+            at = end
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        tag = TAG.match(page, at) if closing else None
+        if tag is None:
+            end = page.find(">", at) if closing and page[at + 1 : at + 2] in ("!", "?", "/") else -1
+            if end < 0:
+                closing = closing and page[at + 1 : at + 2] not in ("!", "?", "/")
+                yield "text", "<", ""
+            at = end + 1 if end >= 0 else at + 1
+            continue
+        end = tag.end()
+        while quotes:
+            m = QUOTE.search(page, end)
+            if m is None:
+                quotes = False
+            elif m[0] == ">":
+                end = m.start()
+                break
+            else:
+                end = page.find(m[0], m.end()) + 1
+                quotes = end > 0
+        if not quotes:
+            end = page.find(">", tag.end())
+            if end < 0:
+                closing = False
+                continue
+        name, attrs = tag[2].lower(), page[tag.end() : end]
+        at = end + 1
+        if tag[1]:
+            yield "close", name, ""
+        elif name in RAW:
+            m = ENDS[name].search(page, at)
+            at = m.end() if m else len(page)
+            yield "raw", name, ""
+        else:
+            yield "open", name, attrs
+
+
+def parse(page: str | None) -> tuple[list[tuple[int, str, bool, bool]], dict[int, tuple[list[str], bool]]]:
+    """Blocks in page order as (node, text, furniture, inside an article or main element), and for each node its child
+    sequence and whether it is inside. A node is the hash of its path, made from its parent's. Inline elements do not part
+    a block; br does, as white space. The work is in proportion to the page: what is looked for on the stack is either
+    counted, at a known place, or taken off."""
+    # tag, node, furniture, inside, place of the topmost block element
+    stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+    opened: Counter[str] = Counter()
+    blocks: list[tuple[int, str, bool, bool]] = []
+    children: dict[int, tuple[list[str], bool]] = {}
     text: list[str] = []
 
     def flush() -> None:
@@ -72,47 +135,49 @@ def parse(page: str | None) -> tuple[list[tuple[str, str, bool]], dict[str, list
             whole = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if whole:
-                blocks.append((stack[-1][1], whole, stack[-1][2]))
-
-    for m in TOKEN.finditer(page or ""):
-        whole, tag = m.group(0), m.group(3)
-        if whole[0] != "<":
-            text.append(whole)
-        elif tag is None:
-            if whole == "<":
-                text.append("<")
-            elif m.group(1) and stack[-1][0] not in DROPPED:
-                text.append("" if m.group(1).lower() != "noscript" else " ")
-        elif (tag := tag.lower()) in INLINE:
+                blocks.append((stack[-1][1], whole, stack[-1][2], stack[-1][3]))
+
+    def cut(place: int) -> None:
+        opened.subtract(s[0] for s in stack[place:])
+        del stack[place:]
+
+    for kind, tag, attrs in scan(page or ""):
+        if kind == "text":
+            text.append(tag)
+        elif kind == "raw":
+            text.append(" " if tag == "noscript" else "")
+        elif tag in INLINE:
             continue
         elif tag == "br":
             text.append(" ")
-        elif m.group(2):
+        elif kind == "close":
             flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag == "p" and stack[i][0] in BLOCKS:
-                    break
+            if tag == "p":
+                place = stack[-1][4]
+                if stack[place][0] == "p":
+                    cut(place)
+            elif opened[tag]:
+                cut(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
         else:
             flush()
-            if tag in BLOCKS:
-                if stack[-1][0] == "p":
-                    stack.pop()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in LISTS:
-                    break
-                if stack[i][0] in CLOSES.get(tag, ()):
-                    del stack[i:]
-                    break
-            name, odd = _node(tag, m.group(4) or "")
-            above, path, furniture = stack[-1]
+            if tag in BLOCKS and stack[-1][0] == "p":
+                cut(len(stack) - 1)
+            closes = CLOSES.get(tag, ())
+            if any(opened[t] for t in closes):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] in LISTS:
+                        break
+                    if stack[i][0] in closes:
+                        cut(i)
+                        break
+            name, odd = _node(tag, attrs)
+            _, node, furniture, inside, block = stack[-1]
             if tag == "header":
-                odd = not any(s[0] in ("article", "main") for s in stack)
-            children.setdefault(path, []).append(name)
-            if tag not in VOID and not (m.group(4) or "").endswith("/"):
-                stack.append((tag, f"{path}>{name}", furniture or odd))
+                odd = not inside
+            children.setdefault(node, ([], inside))[0].append(name)
+            if tag not in VOID and not attrs.endswith("/"):
+                opened[tag] += 1
+                stack.append((tag, _hash(f"{node}>{name}"), furniture or odd, inside or tag in ("article", "main"), len(stack) if tag in BLOCKS else block))
     flush()
     return blocks, children
 
@@ -136,14 +201,13 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for url, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             host = _hash(host_of(url))
             blocks, children = parse(page)
-            paths = {p: (_hash(p), int(INSIDE.search(p) is not None)) for p in [*children, *(p for p, _, _ in blocks)]}
-            found = {(*at, 0, at[1]) for at in paths.values()}
-            found |= {(*paths[p], 1, _hash("\n".join(c))) for p, c in children.items()}
-            found |= {(*paths[p], 2, _hash(t)) for p, t, _ in blocks}
+            found = {(p, int(i), 0, int(i)) for p, (_, i) in children.items()} | {(p, int(i), 0, int(i)) for p, _, _, i in blocks}
+            found |= {(p, int(i), 1, _hash("\n".join(c))) for p, (c, i) in children.items()}
+            found |= {(p, int(i), 2, _hash(t)) for p, t, _, i in blocks}
             inner, outer = sorted(f for f in found if f[1]), sorted(f for f in found if not f[1])
-            body = _hash(repr((inner, [t for p, t, _ in blocks if paths[p][1]])))
+            body = _hash(repr((inner, [t for _, t, _, i in blocks if i])))
             seen.setdefault((host, body), [(p, k, v) for p, _, k, v in inner])
-            seen.setdefault((host, _hash(repr((body, outer, [t for _, t, _ in blocks])))), [(p, k, v) for p, _, k, v in outer])
+            seen.setdefault((host, _hash(repr((body, outer, [t for _, t, _, _ in blocks])))), [(p, k, v) for p, _, k, v in outer])
         rows = [(h, b, [dict(zip(("path", "kind", "value"), f, strict=True)) for f in found]) for (h, b), found in seen.items() if found]
         hosts, bodies, found = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(bodies, pa.int64()), pa.array(found, kind)], names=["host", "body", "features"])
@@ -178,19 +242,10 @@ def cut_nodes(pages: DataFrame) -> DataFrame:
 
 
 def extract_page(page: str | None, cut: set[int]) -> str:
-    """The page's blocks that are neither furniture nor on or below a cut node, joined by one space. If a page has an
-    article or main element, only what is inside counts."""
-    blocks, _ = parse(page)
-    verdict: dict[str, bool] = {}
-
-    def gone(path: str) -> bool:
-        if path not in verdict:
-            verdict[path] = _hash(path) in cut
-        return verdict[path]
-
-    kept = [(p, t) for p, t, furniture in blocks if not furniture and not gone(p)]
-    inside = [(p, t) for p, t in kept if INSIDE.search(p)]
-    return " ".join(t for _, t in inside or kept)
+    """The page's blocks that are neither furniture nor in a cut node, joined by one space. If a page has an article or main
+    element, only what is inside counts."""
+    kept = [(inside, t) for node, t, furniture, inside in parse(page)[0] if not furniture and node not in cut]
+    return " ".join([t for inside, t in kept if inside] or [t for _, t in kept])
 
 
 def _extract(held: dict[int, set[int]] | None):
@@ -216,7 +271,8 @@ def extract(pages: DataFrame, held: int = HELD) -> DataFrame:
     """page_id, url, text for each row of pages (page_id, url, html).
 
     Null and empty html, and pages of furniture only, give an empty text; null or odd urls form one host; repeated rows
-    give repeated rows; an empty table gives an empty table; other columns are ignored. The statistics cover the
+    give repeated rows, equal pages of a host equal texts; a very long page takes time and memory in proportion to it; an
+    empty table gives an empty table; other columns are ignored. The statistics cover the
     distinct bodies of all pages. Up to `held` cut nodes go to the tasks with the code; beyond that they are
     gathered by host and joined to the pages, a hot host being split by the adaptive skew join."""
     base = pages.select("page_id", "url", "html")

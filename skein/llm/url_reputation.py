@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Common public suffixes of two labels.
+SUFFIXES = tuple("ac.jp ac.uk co.in co.jp co.kr co.nz co.uk co.za com.ar com.au com.br com.cn com.hk com.mx com.sg com.tr com.tw edu.au gov.au gov.uk ne.jp net.au or.jp org.au org.nz org.uk blogspot.com github.io".split())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -24,6 +26,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.when(F.instr(url, "://") > 0, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)), F.lit(""))
 
 
+def site_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host without its port: the suffix is the longest fitting one of the list, else
+    the last label, and the domain has one label more, if there is one."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    domain, suffix = F.substring_index(name, ".", -2), F.substring_index(name, ".", -1)
+    for s in sorted(suffixes, key=lambda s: (s.count("."), s)):
+        fits = (name == s) | name.endswith("." + s)
+        domain, suffix = F.when(fits, F.substring_index(name, ".", -2 - s.count("."))).otherwise(domain), F.when(fits, F.lit(s)).otherwise(suffix)
+    return domain, suffix
+
+
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest fitting rule. rules: (allow or block, 'host/path'); a rule fits its host and its
     subdomains when the path starts with the rule's. The list comes from a person, so it is small."""
@@ -45,7 +58,7 @@ def _strength(groups: DataFrame, name: str) -> DataFrame:
     return sums.select(F.coalesce(F.when(usable & (rho > 0.000999), F.least(F.greatest((1 - rho) / rho, F.lit(1.0)), F.lit(1000.0))), F.lit(1000.0)).alias(name), ((F.coalesce("x", F.lit(0)) + 1.0) / (F.coalesce("m", F.lit(0)) + 2.0)).alias("mean_" + name))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """A row (host, n, bad, posterior, lower) for each host of pages (page_id, url).
 
     outcomes (page_id, bad 0/1): repeated page_ids count once, at their largest bad; nulls don't count. Hosts without
@@ -53,7 +66,8 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) ->
     marks = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     seen = pages.select("page_id", host_of(F.col("url")).alias("host")).join(marks, "page_id", "left")
     hosts = seen.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    domain, suffix = site_of(F.col("host"), suffixes)
+    hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
     level = lambda key: hosts.groupBy(key).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = level("suffix")
@@ -69,8 +83,9 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str
     """page_id, host, path, rule, verdict, host_labelled, host_bad for each row of pages (page_id, url).
 
     The verdict is the longest fitting rule's, else block where the host's posterior lower bound exceeds threshold,
-    else allow. Null or odd urls have an empty host and path and are judged as one host; repeated rows give repeated
-    rows; other columns are ignored. The host table joins by a shuffle unless Spark sees that it is small; a hot host
+    else allow. Null or odd urls have an empty host and path and are judged as one host; long urls are read whole; of rules
+    of one length that fit, the last by code point wins; repeated rows give repeated rows; an empty table on either side is
+    no outcome or an empty result; other columns are ignored. The host table joins by a shuffle unless Spark sees that it is small; a hot host
     is split by the adaptive skew join."""
     own = pages.select("page_id", "url")
     known = host_reputation(own, outcomes, z)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, imatch, language, mixing, queries, simhash, site_tree, substring_dedup, toxicity, url_reputation
+from skein.llm import decontaminate, imatch, language, mixing, near_copies, queries, site_tree, substring_dedup, toxicity, url_reputation
 
 SF = "/root/testdata/sf0.001"
 CLASH = "doc_id long, text string, source string, lang string, d string, v string, bucket string, fp string, k1 string, score string, size string, target string"
@@ -72,6 +72,22 @@ def test_mixing_meets_its_targets(spark):
     assert split[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
 
 
+def test_mixing_by_hand(spark):
+    """One source of 100 words: 9 of 10 words and one of 10 words more, target 150, so every one is taken once and the rest
+    by rank, the last in part."""
+    df = spark.createDataFrame([(i, "x " * 10, "a") for i in range(10)], "doc_id long, text string, source string")
+    out = sorted((r.taken for r in mixing.mix(df).collect()), reverse=True)
+    assert out == [20] * 5 + [10] * 5
+
+
+def test_mixing_buckets_are_even(spark):
+    """Whatever the fraction, buckets hold about as many documents."""
+    for share in (1.02, 1.5, 1.97):
+        df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x x x").alias("text"), F.lit("a").alias("source"))
+        sizes = mixing._drawn(df, (1,), share, 2, "mix", 500)[2].groupBy("bucket").count().toPandas()["count"].tolist()
+        assert len(sizes) == 40 and max(sizes) < 650
+
+
 def test_mixing_fills_up_by_weight(spark):
     df = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 1000), (None, 10)], "source string, size long")
     got = {r.source: r.target for r in mixing.source_targets(df).collect()}
@@ -114,13 +130,51 @@ def test_fingerprint_odd_rows(spark):
 
 
 def test_fingerprint_hashes_the_sorted_terms_of_each_subset():
-    band = np.ones(imatch.SLOTS, bool)
+    band = np.sort(imatch.coded([b"x", b"y", b"z", b"w"], 7)[1])
     a, b, c, none = imatch.fingerprint_all(["x y z " * 9, "z, Y. x", "x y w", ""], band)
     assert (a == b).all()
     assert not none.any()
     assert 0 < imatch.likeness(a[None], c[None])[0] < 1
 
 
+def brute_fingerprint(text, band):
+    """I-Match by its definition: of each lexicon subset, the hash of the text's distinct terms in it, in order."""
+    import string
+
+    import xxhash
+
+    mask, mix = (1 << 64) - 1, lambda h: int(imatch.mixed(np.array([h], np.uint64))[0])
+    terms = {t for w in (text or "").lower().split() if (t := w.translate(str.maketrans("", "", string.punctuation)))}
+    terms = (terms & band) or terms
+    out = []
+    for k in range(imatch.SUBSETS):
+        drawn = sorted(d for t in terms if (d := mix(xxhash.xxh64_intdigest(t.encode(), 7) + (k + 1) * 0x9E3779B97F4A7C15 & mask)) >> 32 < 1 << (30 - k % 8))
+        whole = sum(mix(d ^ 0xA5A5A5A5A5A5A5A5) | 1 for d in drawn) & mask | 1 << 63
+        out.append(mix(whole) % 65535 + 1 if drawn else 0)
+    return out
+
+
+def test_fingerprints_against_brute_force(spark):
+    """Document frequencies, band, fingerprints and likeness, all counted anew."""
+    from collections import Counter
+    import string
+
+    clean = str.maketrans("", "", string.punctuation)
+    data = sorted((r.doc_id, r.text) for r in documents(spark).where("length(text) < 2000").limit(60).collect())
+    df = Counter(t for _, text in data for t in {w.translate(clean) for w in text.lower().split()} if t)
+    band = {t for t, n in df.items() if 0.05 * len(data) <= n <= 0.4 * len(data)}
+    got = imatch.lexicon(spark.createDataFrame(data, "doc_id long, text string"), len(data), 0.05, 0.4)
+    assert got.tolist() == sorted(int(imatch.coded([t.encode()], 7)[1][0]) for t in band)
+    out = {r.doc_id: r for r in imatch.fingerprints(spark.createDataFrame(data, "doc_id long, text string"), 0.05, 0.4).collect()}
+    for (d, t), (_, nxt) in zip(data, data[1:] + data[:1], strict=True):
+        q = len(t) // 4
+        own, edited, other = (brute_fingerprint(x, band) for x in (t, t[: len(t) - q] + nxt[:q], nxt))
+        like = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True) if x or y) / max(1, sum(bool(x or y) for x, y in zip(a, b, strict=True)))
+        assert out[d].fingerprint == "".join(f"{x:04x}" for x in own)
+        assert out[d].edited_fingerprint == "".join(f"{x:04x}" for x in edited)
+        assert (out[d].near_edited, out[d].near_next) == pytest.approx((like(own, edited), like(own, other)))
+
+
 TOXIC = [("all is well here. the day is fine", 0), ("you are scum. the day is fine", 1), ("such a loser\nall is well", 1), ("the day is fine here", 0)]
 
 
@@ -237,6 +291,43 @@ def test_forward_backward_by_enumeration():
     assert np.allclose(got, post / post.sum(axis=1, keepdims=True), atol=1e-4)
 
 
+def test_language_gradient_by_differences():
+    rng = np.random.default_rng(7)
+    data = language.Sequences(rng.integers(0, 3, (4, 5)), rng.integers(0, 2, (4, 5)), np.array([1, 2, 3, 1, 4, 0]), np.array([2, 3, 1]))
+    params = [rng.normal(size=(5, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)]
+    _, grads = language.gradient(params, data, 0.01)
+    for i, p in enumerate(params):
+        for at in np.ndindex(p.shape):
+            ends = []
+            for d in (1e-5, -1e-5):
+                moved = [q.copy() for q in params]
+                moved[i][at] += d
+                ends.append(language.gradient(moved, data, 0.01)[0])
+            assert grads[i][at] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-6)
+
+
+def test_language_reads_words_to_their_end(monkeypatch):
+    a, b = "x" * 60 + "ung", "x" * 60 + "tion"
+    assert set(language.features(a.encode(), {})) != set(language.features(b.encode(), {}))
+    rng = np.random.default_rng(1)
+    model = language.Model(["a", "b"], {}, rng.normal(size=(language.SLOTS, 2)), np.zeros((2, 2)), np.zeros(2))
+    word = ("zß" * 700).encode()
+    want = model.weight[language.features(word, {})].sum(axis=0)
+    monkeypatch.setattr(language, "LONG", 50)
+    assert np.allclose(model._long(word), want)
+
+
+def test_language_spans(spark, speaker):
+    texts = {lang: " ".join(t.split()[:12]) for lang, t in documents(spark).where("n_chars > 500").groupBy("lang").agg(F.max("text")).collect()}
+    df = spark.createDataFrame([(1, texts["en"] + " " + texts["de"]), (2, None), (3, "...")], "doc_id long, text string")
+    out = {r.doc_id: r for r in language.identify(df, speaker, spans=True).collect()}
+    assert [out[2].spans, out[3].spans, out[2].lang_pred] == [[], [], "und"]
+    runs = out[1].spans
+    assert runs[0].first == 0 and all(x.end == y.first for x, y in zip(runs, runs[1:], strict=False))
+    first = len(language.words_of(texts["en"]))
+    assert sum(max(0, min(r.end, first) - r.first) for r in runs if r.lang == "en") >= 0.8 * first
+
+
 def test_language_odd_rows(spark, speaker):
     out = {(r.doc_id, r.lang_pred) for r in language.identify(clashing(spark, ODD), speaker).collect()}
     assert {(1, "und"), (2, "und"), (3, "und"), (6, "und")} <= out
@@ -264,6 +355,65 @@ def test_importance_cuts_what_repeats(spark):
         assert out == {i: f"Own text number {i} of {i * 7}" for i in range(40)}
 
 
+def brute_cut(rows):
+    """Hosts, nodes and importance by the definition, over the distinct bodies of each host (no article, so one body)."""
+    import math
+    from collections import Counter, defaultdict
+
+    bodies = defaultdict(set)
+    for _, url, page in rows:
+        blocks, children = site_tree.parse(page)
+        seen = {(n, 0, 0) for n in [*children, *(b[0] for b in blocks)]} | {(n, 1, "/".join(c)) for n, (c, _) in children.items()} | {(n, 2, t) for n, t, _, _ in blocks}
+        bodies[url.split("/")[2]].add((tuple(sorted(seen, key=repr)), tuple(t for _, t, _, _ in blocks)))
+
+    def importance(some):
+        count = defaultdict(Counter)
+        for features, _ in some:
+            for n, kind, value in features:
+                count[n, kind][value] += 1
+        out = {}
+        for n in {n for n, _ in count}:
+            m, styles, texts = count[n, 0][0], count[n, 1], count[n, 2]
+            style = -sum(x / styles.total() * math.log(x / styles.total(), m) for x in styles.values()) if styles and m > 1 else 0
+            leaf = 1 - sum(x / texts.total() * math.log(x, m) for x in texts.values()) if texts and m > 1 else 0
+            out[n] = (max(style, leaf) if m > 1 else 1, m, bool(texts))
+        return out
+
+    every = importance(set().union(*bodies.values()))
+    cut = set()
+    for host, some in bodies.items():
+        for n, (value, m, texts) in importance(some).items():
+            all_value, all_m, _ = every[n]
+            if texts and all_m > 2 and (value * m + all_value * site_tree.PRIOR_PAGES) / (m + site_tree.PRIOR_PAGES) < site_tree.LEAST:
+                cut.add((site_tree._hash(host), n))
+    return cut
+
+
+def test_importance_against_brute_force(spark):
+    """Several hosts with layouts of their own, names without meaning, no article: the tree alone finds the text."""
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for i in range(160):
+        h = int(rng.integers(4))
+        own = [f"text {i} of {rng.integers(10**6)} x" for _ in range(1 + i % 3)]
+        bars = [f"<div class=q{h}><span>all of host {h}</span></div>", f"<div class=z><p>{'odd' if i % 3 else 'even'} bar</p></div>", "<div class=w>one for all</div>"]
+        page = "<body>" + "".join(bars[: 1 + h % 3]) + f"<div class=t{h}>" + "".join(f"<p>{t}</p>" for t in own) + f"</div>{bars[2]}</body>"
+        rows.append((i, f"http://h{h}.example.org/{i}", page))
+        want[i] = " ".join(own)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {(r.host, r.path) for r in site_tree.cut_nodes(df).collect()} == brute_cut(rows)
+    assert {r.page_id: r.text for r in site_tree.extract(df).collect()} == want
+
+
+@pytest.mark.parametrize("part", ["<a '", "<div>", "<li>", "<p><x>", "<ul><div>", '<a "b', "</p>", "<!", "<script>", "<td><div>", "<article><p>a<div></p>"])
+def test_long_pages_take_time_in_proportion(part):
+    import time
+
+    began = time.perf_counter()
+    site_tree.parse(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 20
+
+
 @pytest.mark.parametrize("page", ["<article><p>{a}</p></article><div>{n} read this</div>", "<div><p>{a}</p></div>"])
 def test_copies_of_an_article_are_no_boilerplate(spark, page):
     """A host of copies only, one where four of five pages are copies, and a mirror of one page on each of many hosts."""
@@ -297,6 +447,33 @@ def test_url_parts(spark):
     assert got == cases
 
 
+def test_registered_domains(spark):
+    cases = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.github.io:80": ("x.github.io", "github.io"), "a.b.c": ("b.c", "c"), "localhost:8080": ("localhost", "localhost"), "": ("", ""), "xco.uk": ("xco.uk", "uk")}
+    df = spark.createDataFrame([(h,) for h in cases], "host string")
+    domain, suffix = url_reputation.site_of(F.col("host"))
+    assert {r.host: (r.d, r.s) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()} == cases
+
+
+def test_posteriors_by_hand(spark):
+    """Two hosts of one domain, 8 of 10 and 1 of 10 pages bad, and one of another, 2 of 4, all under one suffix."""
+    rows = [(i, f"http://{'a.x' if i < 10 else 'b.x' if i < 20 else 'c.y'}.org/{i}") for i in range(24)]
+    bad = {*range(8), 10, 20, 21}
+    out = {r.host: r for r in url_reputation.host_reputation(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(i, int(i in bad)) for i in range(24)], "page_id long, bad int")).collect()}
+
+    def strength(groups):  # moments of the rates around the mean rate
+        x, m, k = sum(b for _, b in groups), sum(n for n, _ in groups), len(groups)
+        mean, free = x / m, m - sum(n * n for n, _ in groups) / m - (k - 1)
+        rho = (sum(n * (b / n - mean) ** 2 for n, b in groups) / (mean * (1 - mean)) - (k - 1)) / free if free > 0 else 0
+        return min(max((1 - rho) / rho, 1), 1000) if rho > 0.000999 else 1000
+
+    k1, k2, k3 = strength([(24, 11)]), strength([(20, 9), (4, 2)]), strength([(10, 8), (10, 1), (4, 2)])
+    suffix = (11 + k1 * 12 / 26) / (24 + k1)
+    x = (9 + k2 * suffix) / (20 + k2)
+    assert 1 <= k3 < 1000
+    assert out["a.x.org"].posterior == pytest.approx((8 + k3 * x) / (10 + k3))
+    assert out["b.x.org"].posterior == pytest.approx((1 + k3 * x) / (10 + k3))
+
+
 def test_url_verdicts(spark):
     rows = [(i, "http://bad.x.com/", "h") for i in range(30)] + [(100 + i, "http://good.x.com/", "h") for i in range(30)] + [(200, "http://bad.x.com/en/7", "h"), (201, None, "h"), (202, "http://new.y.org/", "h")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
@@ -348,9 +525,38 @@ def brute_align(a, b):
 
 def test_alignment_against_brute_force():
     rng = np.random.default_rng(0)
-    for _ in range(60):
+    for _ in range(200):
         a, b = rng.integers(1, 6, rng.integers(1, 15)), rng.integers(0, 6, rng.integers(0, 30))
-        assert decontaminate.align(a, b)[0] == brute_align(a, b)
+        best, first, end = decontaminate.align(a, b)
+        assert best == brute_align(a, b)
+        if best:  # the span holds the alignment: it scores as much, and needs its first and last word
+            assert brute_align(a, b[first:end]) == best > max(brute_align(a, b[first + 1 : end]), brute_align(a, b[first : end - 1]))
+
+
+def test_recall_of_edited_copies(spark):
+    """Items with up to a fifth of the words replaced, left out and added: what brute-force alignment finds at 0.5 is found.
+    Copies of very short items may keep no three words together, and have no seed."""
+    rng = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [list(rng.choice(vocab, n)) for n in [4, 5, 6, 8, 9, 12, 16, 25, 40, 60] * 6]
+    docs = []
+    for i in range(300):
+        w = list(items[i % len(items)])
+        for _ in range(int(rng.integers(0, 1 + len(w) // 5))):
+            at, how = int(rng.integers(len(w))), int(rng.integers(3))
+            w[at : at + (how < 2)] = [] if how == 0 and len(w) > 3 else [str(rng.choice(vocab))]
+        docs.append([*rng.choice(vocab, int(rng.integers(0, 20))), *w, *rng.choice(vocab, int(rng.integers(0, 20)))])
+    number = {v: i + 1 for i, v in enumerate(vocab)}
+    code = lambda ws: np.array([number[w] for w in ws])
+    want = {(d, i) for d, ws in enumerate(docs) for i in [d % len(items)] if 2 * decontaminate.align(code(items[i]), code(ws))[0] >= len(items[i])}
+    out = decontaminate.leaks(spark.createDataFrame([(d, " ".join(ws)) for d, ws in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)], "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id) for r in out}
+    long = {(d, i) for d, i in want if len(items[i]) >= 8}
+    assert len(long) > 150 and len(long & found) >= 0.98 * len(long)
+    assert len(want) > 250 and len(want & found) >= 0.9 * len(want)
+    print("recall", len(long & found) / len(long), len(want & found) / len(want), sorted(len(items[i]) for _, i in want - found))
+    for r in out:
+        assert 2 * decontaminate.align(code(items[r.item_id]), code(docs[r.doc_id]))[0] >= len(items[r.item_id])
 
 
 def test_pipeline(spark):
@@ -365,7 +571,27 @@ def test_pipeline(spark):
             docs = spark.createDataFrame(docs.collect(), docs.schema)
     assert len(steps["line_dedup"]) == len(steps["toxicity"])
     kept = steps["line_dedup"]
-    near = {r.doc_id for r in simhash.near_duplicates(spark.createDataFrame(kept)).where("doc_id = component_id").collect()}
+    near = {r.doc_id for r in near_copies.near_copies(spark.createDataFrame(kept)).where("doc_id = component_id").collect()}
     assert set(steps["simhash_dedup"].doc_id) == near
     assert set(steps["decontamination"].doc_id) <= near
     assert sorted(steps["mixing"].doc_id) == sorted(steps["decontamination"].doc_id)
+
+
+def test_pipeline_of_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows and ids, further columns with clashing names; and none."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, t long, score double, `row` string, d string"
+    rows = [(*r, None, 1, 0.5, None, "d") for r in [(1, None, None, "a"), (2, "", "en", None), (None, None, None, None), (3, "one two\nthree four five six", "en", "a"), (3, "one two\nthree four five six", "en", "a"), (3, "seven eight nine ten eleven", None, "b"), (None, "once upon a time in the west", "en", "b"), (None, "once upon a time in the west", "en", "b"), (4, "z " * 30_000, "de", "c"), (5, "x" * 50_000, "fr", "c")]]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SF)
+            if name != "mixing":
+                assert docs.columns == [c.split()[0].strip("`") for c in schema.split(", ")]
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+            if name == "line_dedup":
+                assert docs.count() == len(data)
+            if name == "simhash_dedup":
+                assert sorted(str((r.doc_id, (r.text or "")[:10])) for r in docs.collect()) == sorted(["(1, '')", "(3, 'one two\\nth')", "(3, 'seven eigh')", "(None, 'once upon ')", "(4, 'z z z z z ')", "(5, 'xxxxxxxxxx')"] if data else [])
+        assert docs.count() == (6 if data else 0)
