@@ -75,6 +75,16 @@ CHECKS = {
     "v_format_uri": Check("pages", "page_id", doc(url="url"), props(url={"format": "uri"}), "regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*:')"),
     "v_format_email": Check("customer", "c_custkey", doc(m="CASE WHEN c_nationkey < 12 THEN concat(lower(c_mktsegment), '@example.org') ELSE concat('@', c_name) END"), props(m={"format": "email"}), "c_nationkey < 12"),
     "v_format_ipv4": Check("part", "p_partkey", doc(a="concat('10.0.', cast(p_size as string), '.', cast(p_partkey % 300 as string))"), props(a={"format": "ipv4"}), "p_partkey % 300 <= 255"),
+    "v_format_uuid": Check("customer", "c_custkey", doc(u="concat_ws('-', substr(md5(c_name), 1, 8), upper(substr(md5(c_name), 9, 4)), substr(md5(c_name), 13, 4), substr(md5(c_name), 17, 4), substr(md5(c_name), 21, CASE WHEN c_nationkey < 12 THEN 12 ELSE 11 END))"), props(u={"format": "uuid"}), "c_nationkey < 12"),
+    "v_format_time": Check("orders", "o_orderkey", doc(t="concat(lpad(cast(o_orderkey % 30 as string), 2, '0'), ':', lpad(cast(o_orderkey % 70 as string), 2, '0'), CASE WHEN o_orderkey % 3 = 0 THEN ':07Z' WHEN o_orderkey % 3 = 1 THEN ':59.25-03:30' ELSE ':00' END)"), props(t={"format": "time"}), "o_orderkey % 30 < 24 AND o_orderkey % 70 < 60"),
+    "v_format_duration": Check("part", "p_partkey", doc(d="CASE p_size % 5 WHEN 0 THEN concat('P', p_size, 'DT', p_size, 'H') WHEN 1 THEN concat('PT', p_size, '.5S') WHEN 2 THEN 'P' WHEN 3 THEN concat(p_size, 'D') ELSE concat('P', p_size, 'T') END"), props(d={"format": "duration"}), "p_size % 5 < 2"),
+    "v_format_uri_reference": Check("customer", "c_custkey", doc(u="CASE c_nationkey % 4 WHEN 0 THEN concat('../', c_name, '?q=1#top') WHEN 1 THEN concat('/a b/', c_name) WHEN 2 THEN '' ELSE 'https://example.org/x' END"), props(u={"format": "uri-reference"}), "c_nationkey % 4 IN (0, 3)"),
+    "v_format_ipv6": Check("part", "p_partkey", doc(a="CASE p_size % 4 WHEN 0 THEN concat('2001:db8::', hex(p_size)) WHEN 1 THEN concat('fe80::', p_size, '.1') WHEN 2 THEN concat(hex(p_size), ':1') ELSE '1:2:3:4:5:6:7:8' END"), props(a={"format": "ipv6"}), "p_size % 4 IN (0, 3)"),
+    "v_format_hostname": Check("customer", "c_custkey", doc(h="CASE c_nationkey % 3 WHEN 0 THEN concat('host-', c_custkey, '.Example.org') WHEN 1 THEN concat('-h', c_custkey) ELSE concat(repeat('a', 45 + c_nationkey), '.org') END"), props(h={"format": "hostname"}), "c_nationkey % 3 = 0 OR (c_nationkey % 3 = 2 AND 45 + c_nationkey <= 63)"),
+    "v_format_unknown": Check("orders", "o_orderkey", ORDER, props(status={"format": "no-such-format", "maxLength": 1}), "length(o_orderstatus) <= 1"),
+    "v_annotations": Check("orders", "o_orderkey", ORDER, {"$schema": "https://json-schema.org/draft/2020-12/schema", "title": "order", "$comment": "x", "examples": [1], "deprecated": True, "properties": {"price": {"description": "dear", "minimum": 100000, "readOnly": True}}}, "o_totalprice >= 100000"),
+    "v_large_integers": Check("orders", "o_orderkey", doc(n="9007199254740990 + o_orderkey % 6"), props(n={"type": "integer", "minimum": 9007199254740991, "exclusiveMaximum": 9007199254740995, "not": {"enum": [9007199254740992, 9007199254740994]}}), "o_orderkey % 6 IN (1, 3)"),
+    "v_unique_large": Check("orders", "o_orderkey", "concat('[9007199254740992,', 9007199254740992 + o_orderkey % 3, ',9007199254740994.0]')", {"uniqueItems": True, "items": {"type": "integer"}}, "o_orderkey % 3 = 1"),
     "v_required": Check("orders", "o_orderkey", BAND, {"required": ["low", "high"]}, f"{LOW} AND {HIGH}"),
     "v_properties": Check("orders", "o_orderkey", BAND, props(low={"minimum": 5000}, high={"maximum": 400000}), f"(NOT {LOW} OR o_totalprice >= 5000) AND (NOT {HIGH} OR o_totalprice <= 400000)"),
     "v_additional_false": Check("orders", "o_orderkey", BAND, {"properties": {"key": {}, "low": {}}, "additionalProperties": False}, f"NOT {HIGH} AND NOT {DONE}"),

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INF = float("inf")
+#: A word that no text knows, one for each process, so that equal checks have equal plans.
+_MARK = secrets.token_hex(16)
 
 
 class BadJson(ValueError):
@@ -27,10 +29,17 @@ def _constant(name: str) -> Any:
     raise BadJson(f"unexpected token {name}")
 
 
+def number(v: Any) -> Any:
+    """Numbers have one rule everywhere: integers written as such that fit 64 bits are exact, all others are doubles."""
+    if isinstance(v, int) and not isinstance(v, bool) and not -(2**63) <= v < 2**63:
+        return float(v) if abs(v) < 2**1024 else INF if v > 0 else -INF
+    return v
+
+
 def parse(text: str | None) -> Any:
     """Strict JSON: no duplicate keys, no NaN, nothing after the value."""
     try:
-        return json.loads(text if text is not None else "", object_pairs_hook=_unique, parse_constant=_constant)
+        return json.loads(text if text is not None else "", object_pairs_hook=_unique, parse_constant=_constant, parse_int=lambda s: number(int(s)) if len(s) < 400 else float(s))
     except (ValueError, RecursionError) as e:
         raise BadJson(str(e)) from e
 
@@ -64,13 +73,12 @@ def js_number(n: Any) -> str:
 def document(text: Column) -> Column:
     """The text's value as VARIANT, NULL if it isn't one strict JSON value. Text after a value would be ignored by the
     parser, so the value is parsed as the first of two array items, the second a word that no text knows."""
-    nonce = secrets.token_hex(16)
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{nonce}"]')))
+    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]')))
     return F.element_at(
         F.transform(
             F.array(pair),
             lambda p: F.when(
-                F.coalesce((F.size(F.try_variant_get(p, "$", "array<variant>")) == 2) & (F.try_variant_get(p, "$[1]", "string") == nonce), F.lit(False)),
+                F.coalesce((F.size(F.try_variant_get(p, "$", "array<variant>")) == 2) & (F.try_variant_get(p, "$[1]", "string") == _MARK), F.lit(False)),
                 F.try_variant_get(p, "$[0]", "variant"),
             ),
         ),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections import OrderedDict
 from collections.abc import Iterable, Mapping
-from functools import cached_property
+from functools import cached_property, lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -13,15 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 import skein
+from skein.functions import patterns
 from skein.functions.values import BadJson, document, parse
 from skein.operators import interpreter, mutate
 from skein.plans import compile as plan
 from skein.plans import typed
-from skein.plans.schema import Compiler, Node, SchemaError, fingerprint, load
+from skein.plans.schema import Compiler, Node, SchemaError, fingerprint, load, reach
 
 ERROR = "struct<keyword:string,instancePath:string,schemaPath:string,params:string,message:string>"
 ISSUE = "struct<message:string,path:array<string>>"
-_COMPILED: dict[str, Node] = {}
+#: Compiled schemas by their fingerprint, the latest ones.
+_COMPILED: OrderedDict[str, Node] = OrderedDict()
+MOST_COMPILED = 1024
 
 
 def syntax(message: str) -> dict[str, str]:
@@ -42,11 +46,13 @@ class Validator:
     Compiling is lazy, so add_schema works until the first use. coerce_types and remove_additional choose what
     transform does; defaults are always filled in there. Validation itself never changes a value. engine: auto takes
     column expressions where they can hold the check, else the interpreter on Arrow batches; column or interpreter
-    force one."""
+    force one. safe_patterns refuses patterns with a repetition inside a repetition, which the backtracking engines
+    may take exponential time for."""
 
-    def __init__(self, schema: Any, schemas: Iterable[Any] | Mapping[str, Any] | None = None, coerce_types: bool = False, remove_additional: bool = False, engine: str = "auto"):
+    def __init__(self, schema: Any, schemas: Iterable[Any] | Mapping[str, Any] | None = None, coerce_types: bool = False, remove_additional: bool = False, engine: str = "auto", safe_patterns: bool = False):
         self.schema = load(schema)
         self.registry: dict[str, Any] = {}
+        self.safe_patterns = safe_patterns
         self.coerce_types, self.remove_additional, self.engine = coerce_types, remove_additional, engine
         if isinstance(schemas, Mapping):
             for name, s in schemas.items():
@@ -67,9 +73,17 @@ class Validator:
     @cached_property
     def node(self) -> Node:
         key = fingerprint(self.schema, self.registry)
-        if key not in _COMPILED:
-            _COMPILED[key] = Compiler(self.schema, self.registry).root
-        return _COMPILED[key]
+        root = _COMPILED.get(key) or Compiler(self.schema, self.registry).root
+        _COMPILED[key] = root
+        _COMPILED.move_to_end(key)
+        while len(_COMPILED) > MOST_COMPILED:
+            _COMPILED.popitem(last=False)
+        if self.safe_patterns:
+            for n in reach(root):
+                for p in [n.get("pattern"), *(n.get("patternProperties") or {})]:
+                    if isinstance(p, str) and patterns.nested_quantifier(p):
+                        raise SchemaError(f"a repetition inside a repetition: {p!r}")
+        return root
 
     @cached_property
     def as_columns(self) -> bool:
@@ -102,8 +116,22 @@ class Validator:
             return plan.let(value, lambda d: d.isNotNull() & plan.valid(self.node, d))
         return self.is_valid(F.to_json(value))
 
-    def errors(self, text: Column | str, first: bool = False) -> Column:
-        """The list of errors, empty for a valid document. Valid rows don't reach the interpreter with their text."""
+    def count_in(self, texts: Column | str) -> Column:
+        """How many of an array of texts are valid."""
+        texts = F.col(texts) if isinstance(texts, str) else texts
+        if self.as_columns:
+            return F.size(F.filter(texts, lambda t: self.is_valid(t)))
+        node = self.node
+
+        @arrow_udf("int")
+        def count(batch: pa.Array) -> pa.Array:
+            return pa.array([None if x is None else sum(t is not None and not _text_errors(node, t) for t in x) for x in batch.to_pylist()], pa.int32())
+
+        return count(texts)
+
+    def errors(self, text: Column | str, first: bool = False, invalid: bool = False) -> Column:
+        """The list of errors, empty for a valid document. Valid rows don't reach the interpreter with their text; invalid
+        says that there are none, so that the verdict isn't computed."""
         text = (F.col(text) if isinstance(text, str) else text).cast("string")
         node = self.node
         kind = pa.list_(pa.struct([(n, pa.string()) for n in ("keyword", "instancePath", "schemaPath", "params", "message")]))
@@ -113,7 +141,9 @@ class Validator:
             return pa.array([[] if t is None else _text_errors(node, t) for t in texts.to_pylist()], kind)
 
         text = F.coalesce(text, F.lit(""))
-        found = find(F.when(self.is_valid(text), F.lit(None)).otherwise(text) if self.as_columns else text)
+        # the planner doesn't take the function out of a generator when such a check is in its argument
+        known = self.as_columns and not invalid and not any(n.has("unevaluatedProperties") for n in reach(node))
+        found = find(F.when(self.is_valid(text), F.lit(None)).otherwise(text) if known else text)
         return F.slice(found, 1, 1) if first else found
 
     def result(self, text: Column | str) -> Column:
@@ -160,8 +190,16 @@ class Validator:
         return df.agg(F.count_if(self.is_valid(column)).alias("valid"), F.count("*").alias("total"))
 
     def split_valid(self, df: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-        """The valid rows, and the others with their errors."""
-        return self.filter_valid(df, column), df.where(~self.is_valid(column)).withColumn("errors", self.errors(column))
+        """The valid rows, and the others with their errors. Each side computes the verdict once; to compute it once for
+        both, persist marked() and take its halves."""
+        return self.halves(self.marked(df, column), column)
+
+    def marked(self, df: DataFrame, column: str = "value", into: str = "is_valid") -> DataFrame:
+        return df.withColumn(into, self.is_valid(column))
+
+    def halves(self, marked: DataFrame, column: str = "value", by: str = "is_valid") -> tuple[DataFrame, DataFrame]:
+        """Of rows with their verdict: the valid ones, and the others with their errors."""
+        return marked.where(F.col(by)).drop(by), marked.where(~F.col(by)).drop(by).withColumn("errors", self.errors(column, invalid=True))
 
     def row_valid(self, df: DataFrame) -> Column:
         """Whether a row of df, as an object of its columns, is valid; SQL NULL is an absent property. Scalar columns
@@ -222,6 +260,22 @@ def validate(schema: Any, value: Any) -> dict[str, Any]:
     return v.check_json(value) if isinstance(value, str) else v.check(value)
 
 
+@lru_cache(256)
+def _by_text(schema: str) -> Node:
+    return Validator(schema).node
+
+
+def valid_under(schema: Column | str, text: Column | str) -> Column:
+    """Whether each row's text is valid under the row's own schema text; NULL for a NULL schema. A task compiles each
+    schema once and keeps the latest; a bad schema raises."""
+
+    @arrow_udf("boolean")
+    def check(schemas: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else t is not None and not _text_errors(_by_text(s), t) for s, t in zip(schemas.to_pylist(), texts.to_pylist(), strict=True)], pa.bool_())
+
+    return check(schema, text)
+
+
 def batch_valid(schema: Any, texts: Iterable[str | bytes]) -> int:
     """How many of the texts are valid."""
     v = Validator(schema)
@@ -250,7 +304,8 @@ def load_bundle(text: str) -> list[Validator]:
 
 
 class Facade:
-    """A compile-and-call interface: compile gives a function with the last call's errors."""
+    """A compile-and-call interface: compile gives a function of a value, with the last call's errors, and its column
+    form."""
 
     def __init__(self, **options: Any):
         self.options, self.known, self.errors = options, {}, None
@@ -268,7 +323,7 @@ class Facade:
             run.errors = found["errors"] or None
             return found["valid"]
 
-        run.errors = None
+        run.errors, run.column = None, own.is_valid
         return run
 
     def get_schema(self, key: str):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import formats, patterns
 from skein.functions.values import is_number
+from skein.functions.values import number as normal
 from skein.plans.schema import Node, reach, recursive, unrolled
 
 #: Larger expressions cost more to plan than the interpreter costs to run.
@@ -63,6 +64,7 @@ class Value:
         self.v = v
         self.tag = F.schema_of_variant(v)
         self.number = F.try_variant_get(v, "$", "double")
+        self.whole = F.try_variant_get(v, "$", "bigint")  # only meant for the tag BIGINT
         self.string = F.try_variant_get(v, "$", "string")
         self.items = F.try_variant_get(v, "$", "array<variant>")
         self.map = F.try_variant_get(v, "$", "map<string,variant>")
@@ -99,7 +101,28 @@ def equals(x: Value, to: Any) -> Column:
         return x.is_("boolean") & F.coalesce(F.try_variant_get(x.v, "$", "boolean") == to, F.lit(False))
     if isinstance(to, str):
         return x.is_("string") & F.coalesce(x.string == to, F.lit(False))
-    return x.is_("number") & F.coalesce(x.number == float(to), F.lit(False))
+    return x.is_("number") & F.coalesce(compared(x, "==", to), F.lit(False))
+
+
+SIGNS = {"==": lambda a, b: a == b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, ">": lambda a, b: a > b}
+
+
+def compared(x: Value, sign: str, to: float | int) -> Column:
+    """x against a number, exactly. Doubles decide unless the number is an integer from 2^53 on, where doubles are not
+    dense: 64-bit integers are then compared as such, and a double with the double next to the number."""
+    to, test = normal(to), SIGNS[sign]
+    if to != to or abs(to) == float("inf") or abs(to) < 2**53 or to != int(to):
+        return test(x.number, F.lit(float(to)))
+    near, exact = float(to), int(to)
+    below = int(near) < exact
+    if sign == "==":
+        rough = x.number == near if int(near) == exact else F.lit(False)
+    elif sign in ("<=", ">"):  # a double is at most the number if it is at most the largest double that is
+        rough = SIGNS["<=" if sign == "<=" else ">"](x.number, F.lit(near)) if int(near) <= exact else SIGNS["<" if sign == "<=" else ">="](x.number, F.lit(near))
+    else:
+        rough = SIGNS["<=" if sign == "<" else ">"](x.number, F.lit(near)) if below else SIGNS[sign](x.number, F.lit(near))
+    whole = test(x.whole, F.lit(exact)) if -(2**63) <= exact < 2**63 else F.lit(test(0, exact))
+    return F.when(x.tag == "BIGINT", whole).otherwise(rough)
 
 
 def matches(s: Column, pattern: str) -> Column:
@@ -125,7 +148,7 @@ def valid(node: Node, v: Column) -> Column:
         parts.append(either([equals(x, c) for c in raw["enum"]]))
     if "const" in raw:
         parts.append(equals(x, raw["const"]))
-    given("number", numeric(raw, x.number))
+    given("number", [compared(x, sign, raw[word]) for word, sign in BOUNDS.items() if is_number(raw.get(word))] + multiple(raw, x.number))
     given("string", textual(raw, x.string))
     given("array", _array(node, x))
     given("object", _object(node, x))
@@ -145,16 +168,21 @@ def valid(node: Node, v: Column) -> Column:
     return F.coalesce(both(parts), F.lit(False))
 
 
+BOUNDS = {"minimum": ">=", "maximum": "<=", "exclusiveMinimum": ">", "exclusiveMaximum": "<"}
+
+
 def numeric(raw: dict, d: Column, whole: bool = False) -> list[Column]:
-    out = []
-    for word, test in (("minimum", lambda n: d >= n), ("maximum", lambda n: d <= n), ("exclusiveMinimum", lambda n: d > n), ("exclusiveMaximum", lambda n: d < n)):
-        if is_number(raw.get(word)):
-            out.append(test(F.lit(float(raw[word]) if not whole or raw[word] != int(raw[word]) else int(raw[word]))))
-    if is_number(raw.get("multipleOf")):
-        n = float(raw["multipleOf"])
-        r = F.try_mod(d, F.lit(n))
-        out.append((F.abs(r) <= 1e-8) | (F.abs(r - n) <= 1e-8) | (F.abs(r + n) <= 1e-8))
-    return out
+    """The numeric checks of a typed column; whole: of integers, which are compared with integers as such."""
+    bounds = [SIGNS[sign](d, F.lit(float(raw[word]) if not whole or raw[word] != int(raw[word]) or abs(raw[word]) >= 2**63 else int(raw[word]))) for word, sign in BOUNDS.items() if is_number(raw.get(word))]
+    return bounds + multiple(raw, d)
+
+
+def multiple(raw: dict, d: Column) -> list[Column]:
+    if not is_number(raw.get("multipleOf")):
+        return []
+    n = float(raw["multipleOf"])
+    r = F.try_mod(d, F.lit(n))
+    return [(F.abs(r) <= 1e-8) | (F.abs(r - n) <= 1e-8) | (F.abs(r + n) <= 1e-8)]
 
 
 def _sizes(raw: dict, n: Column, what: str) -> list[Column]:
@@ -172,8 +200,12 @@ def textual(raw: dict, s: Column) -> list[Column]:
 
 
 def _scalar_key(v: Column) -> Column:
+    """Equal for equal scalars. A 64-bit integer that no double holds keeps its distance from the nearest one."""
     x = Value(v)
-    return F.when(x.is_("number"), F.concat(F.lit("n"), (x.number + 0.0).cast("string"))).otherwise(F.concat(x.tag, F.coalesce(x.string, F.lit(""))))
+    edge = F.abs(x.number) >= F.lit(2.0**63)  # where a double can't become an integer again
+    off = F.when(edge, F.nullif(x.whole, F.lit(-(2**63)))).otherwise(F.nullif(x.whole - F.when(edge, F.lit(0)).otherwise(x.number.cast("bigint")), F.lit(0)))
+    off = F.when((x.tag == "BIGINT") & (F.abs(x.number) >= F.lit(2.0**53)), off.cast("string"))
+    return F.when(x.is_("number"), F.concat(F.lit("n"), (x.number + 0.0).cast("string"), F.coalesce(F.concat(F.lit("|"), off), F.lit("")))).otherwise(F.concat(x.tag, F.coalesce(x.string, F.lit(""))))
 
 
 def _array(node: Node, x: Value) -> list[Column]:

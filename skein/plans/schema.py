@@ -11,6 +11,7 @@ from typing import Any
 from urllib.parse import unquote, urldefrag, urljoin
 
 from skein.functions import patterns
+from skein.functions.values import number
 
 TYPES = ("string", "number", "integer", "boolean", "null", "object", "array")
 DRAFT_7 = ("http://json-schema.org/draft-07/schema", "http://json-schema.org/draft-07/schema#")
@@ -231,6 +232,7 @@ def canonical(value: Any) -> str:
     if isinstance(value, bool) or value is None:
         return json.dumps(value)
     if isinstance(value, (int, float)):
+        value = number(value)
         return "n" + (str(int(value)) if value == value and abs(value) != float("inf") and value == int(value) else repr(float(value)))
     if isinstance(value, str):
         return json.dumps(value)

@@ -14,11 +14,16 @@ def validate_stream(stream: DataFrame, validator: Validator, column: str = "valu
 
 def route(stream: DataFrame, validator: Validator, valid_path: str, rejected_path: str, checkpoint: str, column: str = "value", fmt: str = "parquet") -> DataStreamWriter:
     """A writer that appends valid rows to one place and the others, with their errors, to another. Each batch goes to
-    folders named by its number, which a repeated batch overwrites, so that every row arrives exactly once."""
+    folders named by its number, which a repeated batch overwrites, so that every row arrives exactly once. A batch is
+    read and checked once and kept for both writes."""
 
     def write(batch: DataFrame, number: int) -> None:
-        good, bad = validator.split_valid(batch, column)
-        good.write.mode("overwrite").format(fmt).save(f"{valid_path}/batch={number}")
-        bad.write.mode("overwrite").format(fmt).save(f"{rejected_path}/batch={number}")
+        marked = validator.marked(batch, column).persist()
+        try:
+            good, bad = validator.halves(marked, column)
+            good.write.mode("overwrite").format(fmt).save(f"{valid_path}/batch={number}")
+            bad.write.mode("overwrite").format(fmt).save(f"{rejected_path}/batch={number}")
+        finally:
+            marked.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

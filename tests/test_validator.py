@@ -1,13 +1,16 @@
 """References, mutators, sources, streams, bundles and the other parts of the interface."""
 
+import io
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import formats, patterns
+from skein.operators import validator
 from skein.operators.validator import Facade, Validator, batch_valid, bundle, load_bundle, validate, version
 from skein.plans.schema import SchemaError, evaluated, fingerprint, normalise_draft7
+from skein.sources import harness
 from skein.sources.ndjson import lines_of, read_ndjson
 from skein.streaming.route import route
 
@@ -102,14 +105,14 @@ def test_equality_of_values():
 
 
 def test_buffers_and_lines(spark, tmp_path):
-    v = Validator({"type": "object", "required": ["id"]})
-    buffer = b'{"id":1}\n{"id":2}\n\n{"bad":true}\n'
+    v = Validator({"type": "object", "required": ["berth"]})
+    buffer = b'{"berth":"A"}\n{"berth":0}\n\n{"quay":[]}\n'
     assert v.accepts_lines(buffer) == [True, True, False]
     assert v.accepts_lines("") == []
     assert batch_valid({"type": "number"}, ["1", "x", b"3"]) == 2
     df = spark.createDataFrame([(bytearray(buffer),)], "b binary")
     assert [tuple(r) for r in lines_of(df, "b").select("line_no", v.is_valid("value")).collect()] == [(0, True), (1, True), (2, False)]
-    assert df.select(v.is_valid_prefix("b", 8)).collect()[0][0]
+    assert df.select(v.is_valid_prefix("b", 13)).collect()[0][0]
     (tmp_path / "x.ndjson").write_bytes(buffer)
     lines = read_ndjson(spark, str(tmp_path), numbered=True)
     assert tuple(v.count_valid(lines).collect()[0]) == (2, 3)
@@ -117,6 +120,57 @@ def test_buffers_and_lines(spark, tmp_path):
     assert (good.count(), [r.errors[0].keyword for r in bad.collect()]) == (2, ["required"])
 
 
+def test_large_numbers_in_both_engines(spark):
+    """Integers of 64 bits are exact, whatever the engine; others are doubles."""
+    edge = [2**53 - 1, 2**53, 2**53 + 1, 2**53 + 2, -(2**53) - 1, 2**63 - 1, 2**63 - 512, 2**63, -(2**63), -(2**63) - 1, 10**19, 10**25, 2**56 + 1]
+    texts = [*map(str, edge), "9007199254740992.0", "9007199254740993.0", "9.007199254740992e15", "1e19", "9223372036854775807.0", "1e25", "0.1", "-0", "0", "1e400", "9" * 400]
+    docs = [*texts, *(f"[{a},{b}]" for a in texts for b in texts)]
+    made = [{w: n} for n in [*edge, 9007199254740992.0, 2.0**63, 1e19] for w in ("const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum")]
+    made += [{"enum": edge[:5]}, {"type": "integer"}, {"uniqueItems": True, "items": {"type": ["integer", "number"]}}]
+    df = spark.createDataFrame([(t,) for t in docs], "value string").coalesce(2)
+    checks = [Validator(s) for s in made]
+    assert all(v.as_columns for v in checks)
+    for part in (checks[:35], checks[35:]):
+        got = df.select([v.is_valid("value").alias(f"c{i}") for i, v in enumerate(part)]).collect()
+        for t, row in zip(docs, got, strict=True):
+            assert list(row) == [v.accepts_json(t) for v in part], (t, [v.schema for v, x in zip(part, row, strict=True) if x != v.accepts_json(t)])
+
+
+def test_harness():
+    case = {"schema": {"type": "string"}, "tests": [{"instance": "a"}, {"instance": 1}]}
+    lines = [{"cmd": "start", "version": 1}, {"cmd": "dialect", "dialect": "https://json-schema.org/draft/2020-12/schema"}, {"cmd": "run", "seq": 7, "case": case}, {"cmd": "run", "seq": 8, "case": {"schema": {"$ref": "urn:x"}, "registry": {"urn:x": {"maximum": 2}}, "tests": [{"instance": 3}]}}, {"cmd": "run", "seq": 9, "case": {"schema": {"type": "strin"}, "tests": []}}, {"cmd": "stop"}, {"cmd": "run"}]
+    out = io.StringIO()
+    harness.serve(io.StringIO("\n\n".join(map(json.dumps, lines))), out)
+    said = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert said[0]["version"] == 1 and said[1] == {"ok": True} and len(said) == 5
+    assert said[2] == {"seq": 7, "results": [{"valid": True}, {"valid": False}]}
+    assert said[3] == {"seq": 8, "results": [{"valid": False}]}
+    assert (said[4]["seq"], said[4]["errored"]) == (9, True)
+
+
+def test_safe_patterns():
+    bad = {"properties": {"a": {"pattern": "^(x+)+$"}}}
+    assert Validator(bad).accepts({"a": "xx"})
+    with pytest.raises(SchemaError):
+        Validator(bad, safe_patterns=True).accepts({})
+    with pytest.raises(SchemaError):
+        Validator({"patternProperties": {"(a*)*": {}}}, safe_patterns=True).accepts({})
+    assert Validator({"pattern": "^(ab|c)+$"}, safe_patterns=True).accepts("abc")
+
+
+def test_compiled_schemas_are_bounded(monkeypatch):
+    monkeypatch.setattr(validator, "MOST_COMPILED", 3)
+    for i in range(10):
+        Validator({"minimum": i}).accepts(1)
+    assert len(validator._COMPILED) == 3
+
+
+def test_equal_checks_have_equal_plans(spark):
+    df = spark.createDataFrame([("1",)], "value string")
+    plans = {df.select(Validator({"minimum": 1}).is_valid("value").alias("ok"))._jdf.queryExecution().analyzed().canonicalized().toString() for _ in range(2)}
+    assert len(plans) == 1
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text('{"k":1}\n{"k":"x"}\n\nnope\n')
