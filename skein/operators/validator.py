@@ -23,6 +23,8 @@ from skein.plans.schema import Compiler, Node, SchemaError, fingerprint, load, r
 
 ERROR = "struct<keyword:string,instancePath:string,schemaPath:string,params:string,message:string>"
 ISSUE = "struct<message:string,path:array<string>>"
+#: Keywords of plain record schemas.
+PLAIN = frozenset("$schema $id $defs $comment title description default examples type enum const properties required minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength pattern format".split())
 #: Compiled schemas by their fingerprint, the latest ones.
 _COMPILED: OrderedDict[str, Node] = OrderedDict()
 MOST_COMPILED = 1024
@@ -90,6 +92,12 @@ class Validator:
         """Whether the check runs as column expressions."""
         return self.engine == "column" or self.engine == "auto" and plan.expressible(self.node)
 
+    @cached_property
+    def _plain(self) -> bool:
+        """Whether the check is a record's: with some others the planner leaves a Python function unplanned if the check is
+        in its argument, so the error lists of those are looked for in all rows."""
+        return self.as_columns and all(isinstance(n.raw, bool) or not set(n.raw) - PLAIN for n in reach(self.node))
+
     # Columns
 
     def is_valid(self, text: Column | str) -> Column:
@@ -130,8 +138,8 @@ class Validator:
         return count(texts)
 
     def errors(self, text: Column | str, first: bool = False, invalid: bool = False) -> Column:
-        """The list of errors, empty for a valid document. Valid rows don't reach the interpreter with their text; invalid
-        says that there are none, so that the verdict isn't computed."""
+        """The list of errors, empty for a valid document. Under a plain record schema, valid rows don't reach the interpreter
+        with their text; invalid says that there are none, so that the verdict isn't computed."""
         text = (F.col(text) if isinstance(text, str) else text).cast("string")
         node = self.node
         kind = pa.list_(pa.struct([(n, pa.string()) for n in ("keyword", "instancePath", "schemaPath", "params", "message")]))
@@ -141,9 +149,7 @@ class Validator:
             return pa.array([[] if t is None else _text_errors(node, t) for t in texts.to_pylist()], kind)
 
         text = F.coalesce(text, F.lit(""))
-        # the planner doesn't take the function out of a generator when such a check is in its argument
-        known = self.as_columns and not invalid and not any(n.has("unevaluatedProperties") for n in reach(node))
-        found = find(F.when(self.is_valid(text), F.lit(None)).otherwise(text) if known else text)
+        found = find(F.when(self.is_valid(text), F.lit(None)).otherwise(text) if self._plain and not invalid else text)
         return F.slice(found, 1, 1) if first else found
 
     def result(self, text: Column | str) -> Column:

@@ -11,7 +11,7 @@ from skein.plans import compile as plan
 
 FORMATS = ["email", "date", "uuid", "date-time", "time", "duration", "uri", "uri-reference", "ipv4", "ipv6", "hostname", "nonsense"]
 STRINGS = ["", "a", "ab", "xyz", "x_1", "ß😀", "a\n", "a@b.c", "@b.c", "a@b", "a@.b", "a@@.c", "2020-01-31", "2020-13-01T00:00:00Z", "2020-02-30T10:00:00.5+01:00", "10:00:00", "24:00:00", "P1D", "P", "PT", "PT1.5S", "http://x", "x y", "1.2.3.4", "01.2.3.4", "::1", "1:2:3", "a-b.c", "-a", "123e4567-e89b-12d3-a456-426614174000", "p0", "p1"]
-NUMBERS = ["0", "1", "-1", "2.5", "1.0", "1e2", "100", "0.3", "12345678901234567890123", "1e400", "-7", "49"]
+NUMBERS = ["0", "1", "-1", "2.5", "1.0", "1e2", "100", "0.3", "12345678901234567890123", "1e400", "-7", "49", "9007199254740991", "9007199254740992", "9007199254740993", "9007199254740993.0", "9223372036854775807", "9223372036854775808", "-9223372036854775809"]
 
 
 def schema(rng, depth):
@@ -28,10 +28,10 @@ def schema(rng, depth):
 
     kinds = ["string", "number", "integer", "boolean", "null", "object", "array"]
     maybe(0.5, "type", lambda: rng.choice(kinds) if rng.random() < 0.7 else rng.sample(kinds, 2))
-    maybe(0.1, "enum", lambda: rng.sample(["a", "x_1", 1, 2.5, None, True, 100], 4))
-    maybe(0.05, "const", lambda: rng.choice(["ab", 1, False, None]))
+    maybe(0.1, "enum", lambda: rng.sample(["a", "x_1", 1, 2.5, None, True, 100, 2**53, 2**53 + 1, 2**63 - 1], 5))
+    maybe(0.05, "const", lambda: rng.choice(["ab", 1, False, None, 2**53 + 1, 2**63]))
     for w in ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum"):
-        maybe(0.1, w, lambda: rng.choice([0, 1, 2.5, 50]))
+        maybe(0.1, w, lambda: rng.choice([0, 1, 2.5, 50, 2**53, 2**53 + 1, 2**63 - 1, 2**63]))
     maybe(0.1, "multipleOf", lambda: rng.choice([2, 0.1, 7]))
     maybe(0.1, "minLength", lambda: rng.randrange(4))
     maybe(0.1, "maxLength", lambda: rng.randrange(6))
