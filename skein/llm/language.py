@@ -232,11 +232,12 @@ def gradient(params: list[np.ndarray], data: Sequences, prior: float = 1e-4) ->
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on up to about `sample` rows of each language of labelled (doc_id, text, lang), chosen by a hash of doc_id, in
-    one task. Nulls are left out; an empty table gives a model without languages."""
+    one task. Nulls are left out; an empty table gives a model without languages. The counts, a row a language, are
+    broadcast: the number of languages is taken to be small, and a join by shuffle would deal all texts by language."""
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     chance = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("fit")))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    rows = rows.join(counts, "lang").where(chance * F.col("n") < 2**32 * sample).select("doc_id", "text", "lang")
+    rows = rows.join(F.broadcast(counts), "lang").where(chance * F.col("n") < 2**32 * sample).select("doc_id", "text", "lang")
     models = rows.repartition(1).mapInArrow(_fitted, "model binary").collect()
     return pickle.loads(bytes(models[0][0])) if models else fit([], [])
 
