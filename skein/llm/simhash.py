@@ -40,7 +40,11 @@ def shingles(text: str | None, size: int) -> list[int]:
 
 
 def fingerprint(text: str | None, size: int = 4) -> int:
-    hashes = shingles(text, size)
+    return condensed(shingles(text, size))
+
+
+def condensed(hashes: list[int]) -> int:
+    """The bits that are set in over half the hashes."""
     if not hashes:
         return 0
     h = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -59,3 +60,17 @@ def test_stage_drops_near_copies_that_differ_in_many_bits(spark):
     assert any(bin(simhash.fingerprint(t) ^ simhash.fingerprint(texts[f])).count("1") > 8 for t, f in zip(texts, want, strict=True))
     kept = corpus_pipeline.dedup_documents(spark, df, "").collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(want))
+
+
+def test_stage_links_by_fingerprints(spark, monkeypatch):
+    """Near copies whose SimHash fingerprints are close meet without any band in common."""
+    apart = np.random.default_rng(4)
+    monkeypatch.setattr(near_copies, "bands", lambda found: np.random.default_rng(found).integers(0, 1 << 63, 32, np.uint64))
+    words = [f"w{apart.integers(10**9)}" for _ in range(400)]
+    texts = [" ".join(words), " ".join([*words[:399], "end"]), " ".join(words[::-1]), " ".join(words[:200])]
+    sets = [near_copies.shingle_set(t) for t in texts]
+    assert 0 < bin(simhash.fingerprint(texts[0], 5) ^ simhash.fingerprint(texts[1], 5)).count("1") <= simhash.BITS
+    assert not set(near_copies.bands(sets[0])) & set(near_copies.bands(sets[1]))
+    assert near_copies.tree(texts) == [(0, 1)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_documents(spark, df, "").collect()) == [0, 2, 3]
