@@ -22,7 +22,9 @@ SUBSETS = 64
 #: Bytes of text for each range of documents.
 PER_BUCKET = 8 << 20
 #: Characters of text that are fingerprinted at once.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
+#: Bytes of text whose terms are counted at once, and counts that a task holds before it passes them on.
+PIECE, PENDING = 1 << 20, 1 << 20
 
 
 def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,11 +40,34 @@ def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return both // max(1, len(hashes)), both % max(1, len(hashes)), hashes[order]
 
 
+def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of all parts, sorted, and their counts."""
+    term, where = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
+    n = np.zeros(len(term), np.int64)
+    np.add.at(n, where, np.concatenate([n for _, n in found]))
+    return term, n
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term, n: in how many texts of the piece each term is."""
-    for batch in chunks(batches, 0):
+    """term, n: in how many texts each term is. Texts are cut into words a PIECE at a time, and counts of PENDING terms are
+    held back to be summed."""
+    found, pending = [], 0
+    for batch in chunks(batches, 0, PIECE):
         _, term, hashes = _terms(batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.bincount(term, minlength=len(hashes)))], names=["term", "n"])
+        found.append((hashes, np.bincount(term, minlength=len(hashes))))
+        pending += len(hashes)
+        if pending > PENDING:
+            found = [_summed(found)]
+            pending = len(found[0][0])
+            if 2 * pending > PENDING:
+                yield _counts(*found[0])
+                found, pending = [], 0
+    if found:
+        yield _counts(*_summed(found))
+
+
+def _counts(term: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], names=["term", "n"])
 
 
 def lexicon(docs: DataFrame, n: int, rarest: float = 0.002, commonest: float = 0.2) -> np.ndarray:
@@ -98,20 +123,31 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(n > 0, ((a == b) & some).sum(axis=1) / np.maximum(n, 1), 1.0)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    z = zstandard.ZstdCompressor(level=3)
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([z.compress(utf8(t)) for t in b.column(4).to_pylist()], pa.binary())], names=["bucket", "tail", "doc_id", "v", "z"])
+def _pack(ends: np.ndarray | None):
+    """bucket, tail, doc_id, v and the compressed text. With ends, of rows doc_id, v, text, dealt to their ranges; without,
+    of rows bucket, doc_id, v, text that another range has at its tail."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=3)
+        for b in chunks(batches, 2 if ends is not None else 3, PIECE):
+            *key, text = b.columns
+            key = [_bucket(ends, key[0]), *key] if ends is not None else key
+            tail = pa.array(np.full(b.num_rows, ends is None))
+            yield pa.RecordBatch.from_arrays([key[0], tail, *key[1:], pa.array([z.compress(utf8(t.as_py())) for t in text], pa.binary())], names=["bucket", "tail", "doc_id", "v", "z"])
+
+    return run
+
 
+def _bucket(ends: np.ndarray, ids: pa.Array) -> pa.Array:
+    """The range of each doc_id, by binary search; null ones are in the last."""
+    bucket = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(ends), np.searchsorted(ends, ids.fill_null(0).to_numpy(zero_copy_only=False)))
+    return pa.array(bucket.astype(np.int64))
 
-def _dealt(ends: np.ndarray, text: bool):
-    """The range of each row's doc_id, by binary search, before the other columns; null ones are in the last."""
 
+def _dealt(ends: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
-            bucket = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(ends), np.searchsorted(ends, ids.fill_null(0).to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), *b.columns], names=["bucket", "doc_id", "v", *(["text"] if text else [])])
+            yield pa.RecordBatch.from_arrays([_bucket(ends, b.column(0)), *b.columns], names=["bucket", "doc_id", "v"])
 
     return run
 
@@ -152,13 +188,13 @@ def fingerprints(docs: DataFrame, rarest: float = 0.002, commonest: float = 0.2)
     band = lexicon(base, n, rarest, commonest)
     buckets = max(4, int((size or 0) // PER_BUCKET))
     ends = np.array(sorted(set(base.where("doc_id is not null").approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets))), np.int64)
-    heads = base.select("doc_id", "v").mapInArrow(_dealt(ends, False), "bucket long, doc_id long, v long").groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("h"))
+    heads = base.select("doc_id", "v").mapInArrow(_dealt(ends), "bucket long, doc_id long, v long").groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "v")).alias("h"))
     heads = materialise(heads)
     # the range before each one gets its first document; all ranges but the last have one, as their ends are doc_ids
     last = heads.agg(F.max("bucket")).scalar()
     into = heads.select(F.when(F.col("bucket") == heads.agg(F.min("bucket")).scalar(), last).otherwise(F.col("bucket") - 1).alias("into"), F.col("h.doc_id").alias("head"), F.col("h.v").alias("head_v"))
-    dealt = base.mapInArrow(_dealt(ends, True), "bucket long, doc_id long, v long, text string")
-    tails = base.join(into, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("v") == F.col("head_v"))).select(F.col("into").alias("bucket"), F.lit(True).alias("tail"), "doc_id", "v", "text")
-    every = dealt.select("bucket", F.lit(False).alias("tail"), "doc_id", "v", "text").union(tails)
-    packed = every.mapInArrow(_pack, "bucket long, tail boolean, doc_id long, v long, z binary")
+    tails = base.join(into, F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("v") == F.col("head_v"))).select(F.col("into").alias("bucket"), "doc_id", "v", "text")
+    # dealt and compressed in one worker: texts reach Python once, and a task has one worker
+    kind = "bucket long, tail boolean, doc_id long, v long, z binary"
+    packed = base.mapInArrow(_pack(ends), kind).union(tails.mapInArrow(_pack(None), kind))
     return packed.groupBy("bucket").applyInArrow(_compare(band), OUT)

@@ -4,6 +4,7 @@ import html
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -559,6 +560,18 @@ def test_recall_of_edited_copies(spark):
         assert 2 * decontaminate.align(code(items[r.item_id]), code(docs[r.doc_id]))[0] >= len(items[r.item_id])
 
 
+def test_imatch_holds_little(spark):
+    """Counts are summed in the task, whatever the pieces; texts reach Python once, in one worker a task."""
+    texts = [f"common w{i % 50} v{i} " + "pad " * 2000 for i in range(600)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 200])], names=["text"]) for i in range(0, 600, 200)]
+    got = [x for b in imatch._frequencies(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(got) == len({t for t, _ in got}) == 652
+    assert sorted(n for _, n in got) == [1] * 600 + [12] * 50 + [600] * 2
+    plan = imatch.fingerprints(spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x.strip(" :+-").split(" ")[0] for x in plan.splitlines()]
+    assert "MapInArrow" in lines and ("MapInArrow", "MapInArrow") not in [(a, b) for a, b in zip([x for x in lines if x != "Project"], [x for x in lines if x != "Project"][1:])]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
