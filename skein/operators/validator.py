@@ -17,6 +17,7 @@ import skein
 from skein.functions import patterns
 from skein.functions.values import BadJson, document, parse
 from skein.operators import interpreter, mutate
+from skein.operators.verdict import Test, accepts_text, verdict
 from skein.plans import compile as plan
 from skein.plans import typed
 from skein.plans.schema import Compiler, Node, SchemaError, fingerprint, load, reach
@@ -34,12 +35,13 @@ def syntax(message: str) -> dict[str, str]:
     return {"keyword": "syntax", "instancePath": "", "schemaPath": "#", "params": "{}", "message": message}
 
 
-def _text_errors(node: Node, text: str | None) -> list[dict[str, str]]:
+def _text_errors(node: Node, text: str | None, test: Test | None = None) -> list[dict[str, str]]:
+    """test: the node's verdict, which spares the valid the search for errors."""
     try:
         value = parse(text)
     except BadJson as e:
         return [syntax(str(e))]
-    return interpreter.errors(node, value)
+    return [] if test and test(value) else interpreter.errors(node, value)
 
 
 class Validator:
@@ -109,7 +111,8 @@ class Validator:
 
         @arrow_udf("boolean")
         def check(texts: pa.Array) -> pa.Array:
-            return pa.array([not _text_errors(node, t) if t is not None else False for t in texts.to_pylist()], pa.bool_())
+            test = verdict(node)
+            return pa.array([accepts_text(test, t) for t in texts.to_pylist()], pa.bool_())
 
         return check(text)
 
@@ -133,7 +136,8 @@ class Validator:
 
         @arrow_udf("int")
         def count(batch: pa.Array) -> pa.Array:
-            return pa.array([None if x is None else sum(t is not None and not _text_errors(node, t) for t in x) for x in batch.to_pylist()], pa.int32())
+            test = verdict(node)
+            return pa.array([None if x is None else sum(accepts_text(test, t) for t in x) for x in batch.to_pylist()], pa.int32())
 
         return count(texts)
 
@@ -141,12 +145,13 @@ class Validator:
         """The list of errors, empty for a valid document. Under a plain record schema, valid rows don't reach the interpreter
         with their text; invalid says that there are none, so that the verdict isn't computed."""
         text = (F.col(text) if isinstance(text, str) else text).cast("string")
-        node = self.node
+        node, known = self.node, self._plain or invalid
         kind = pa.list_(pa.struct([(n, pa.string()) for n in ("keyword", "instancePath", "schemaPath", "params", "message")]))
 
         @arrow_udf(f"array<{ERROR}>")
         def find(texts: pa.Array) -> pa.Array:
-            return pa.array([[] if t is None else _text_errors(node, t) for t in texts.to_pylist()], kind)
+            test = None if known else verdict(node)
+            return pa.array([[] if t is None else _text_errors(node, t, test) for t in texts.to_pylist()], kind)
 
         text = F.coalesce(text, F.lit(""))
         found = find(F.when(self.is_valid(text), F.lit(None)).otherwise(text) if self._plain and not invalid else text)
@@ -267,8 +272,8 @@ def validate(schema: Any, value: Any) -> dict[str, Any]:
 
 
 @lru_cache(256)
-def _by_text(schema: str) -> Node:
-    return Validator(schema).node
+def _by_text(schema: str) -> Test:
+    return verdict(Validator(schema).node)
 
 
 def valid_under(schema: Column | str, text: Column | str) -> Column:
@@ -277,7 +282,7 @@ def valid_under(schema: Column | str, text: Column | str) -> Column:
 
     @arrow_udf("boolean")
     def check(schemas: pa.Array, texts: pa.Array) -> pa.Array:
-        return pa.array([None if s is None else t is not None and not _text_errors(_by_text(s), t) for s, t in zip(schemas.to_pylist(), texts.to_pylist(), strict=True)], pa.bool_())
+        return pa.array([None if s is None else t is not None and accepts_text(_by_text(s), t) for s, t in zip(schemas.to_pylist(), texts.to_pylist(), strict=True)], pa.bool_())
 
     return check(schema, text)
 
