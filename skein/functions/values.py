@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import secrets
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
@@ -36,10 +38,22 @@ def number(v: Any) -> Any:
     return v
 
 
+def _decoder(**how: Any) -> Callable[[], json.JSONDecoder]:
+    made = json.JSONDecoder(object_pairs_hook=_unique, parse_constant=_constant, **how)
+    return lambda: made
+
+
+#: Made once: json.loads with hooks would make a decoder for each text. Integers that may not fit 64 bits have 19 digits at least;
+#: without any, int itself can read them.
+_SHORT, _LONG = _decoder(), _decoder(parse_int=lambda s: number(int(s)) if len(s) < 400 else float(s))
+_DIGITS = re.compile("[0-9]{19}")
+
+
 def parse(text: str | None) -> Any:
     """Strict JSON: no duplicate keys, no NaN, nothing after the value."""
+    text = text if text is not None else ""
     try:
-        return json.loads(text if text is not None else "", object_pairs_hook=_unique, parse_constant=_constant, parse_int=lambda s: number(int(s)) if len(s) < 400 else float(s))
+        return json.loads(text, cls=_SHORT if isinstance(text, str) and not _DIGITS.search(text) else _LONG)
     except (ValueError, RecursionError) as e:
         raise BadJson(str(e)) from e
 

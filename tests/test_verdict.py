@@ -1,5 +1,6 @@
 """Verdicts as functions of values against the interpreter, and what a value costs them."""
 
+import json
 import random
 import sys
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.catalog import TREE
-from skein.functions.values import parse
+from skein.functions.values import BadJson, parse
 from skein.operators import interpreter
 from skein.operators.validator import Validator
 from skein.operators.verdict import accepts_text, verdict
@@ -82,3 +83,15 @@ def test_columns_of_recursive_schemas(spark):
     assert [r[0] for r in df.select(v.is_valid("value")).collect()] == [True, False, False, False, False]
     assert [[e.keyword for e in r[0]] for r in df.select(v.errors("value")).collect()] == [[], ["required"], ["syntax"], ["syntax"], ["syntax"]]
     assert df.agg(F.collect_list("value").alias("all")).select(v.count_in("all")).collect()[0][0] == 1
+
+
+def test_texts_share_a_decoder(monkeypatch):
+    """Both kinds of text: without and with integers that may not fit 64 bits."""
+    monkeypatch.setattr(json, "JSONDecoder", None)  # what json.loads makes decoders of
+    edge = {"9" * 18: 10**18 - 1, "9223372036854775807": 2**63 - 1, "-9223372036854775808": -(2**63), "9223372036854775808": 2.0**63, "-9223372036854775809": -(2.0**63), "9" * 400: float("inf")}
+    for digits, value in edge.items():
+        got = parse(f'{{"a":[{digits},1]}}')["a"]
+        assert (got[0], type(got[0]), got[1]) == (value, type(value), 1)
+    for bad in ('{"a":1,"a":1}', f'[{"9" * 30},{{"a":1,"a":1}}]', "NaN", "[1] x", "﻿1"):
+        with pytest.raises(BadJson):
+            parse(bad)
